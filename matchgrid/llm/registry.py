@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from matchgrid.llm import exact_dedup
+from matchgrid.llm import exact_dedup, packing, token_files
 
 
 def queries():
     return {
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_packing": packing.op8_packing,
+        "op9_token_files": token_files.op9_token_files,
     }
 
 
