@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from matchgrid.llm import exact_dedup, packing, token_files
+from matchgrid.llm import exact_dedup, packing, token_files, trie_bpe
 
 
 def queries():
     return {
+        "op4_trie_bpe": trie_bpe.op4_trie_bpe,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
         "op9_token_files": token_files.op9_token_files,
