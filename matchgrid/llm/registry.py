@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from matchgrid.llm import exact_dedup, packing, secrets, token_files, toxicity, trie_bpe
+from matchgrid.llm import exact_dedup, html_text, packing, secrets, token_files, toxicity, trie_bpe
 
 
 def queries():
     return {
         "op2_secret_scan": secrets.op2_secret_scan,
         "op4_trie_bpe": trie_bpe.op4_trie_bpe,
+        "op6_html_text": html_text.op6_html_text,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_packing": packing.op8_packing,
         "op9_token_files": token_files.op9_token_files,
