@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from matchgrid.llm import exact_dedup, html_text, packing, secrets, token_files, toxicity, trie_bpe
+from matchgrid.llm import exact_dedup, html_text, katz, packing, secrets, token_files, toxicity, trie_bpe
 
 
 def queries():
     return {
+        "op1_katz": katz.op1_katz,
         "op2_secret_scan": secrets.op2_secret_scan,
         "op4_trie_bpe": trie_bpe.op4_trie_bpe,
         "op6_html_text": html_text.op6_html_text,

@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Folders written by this driver, by tag, until clean() removes them.
 _written: dict[str, list[str]] = {}
@@ -48,6 +49,6 @@ def clean(spark: SparkSession, tag: str = "") -> None:
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of what the plan reads, to choose numbers of partitions from."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, column: str) -> int:
+    """Bytes of a text column over all rows, to choose numbers of buckets from."""
+    return df.agg(F.sum(F.octet_length(column).cast("long")).alias("n")).first().n or 0
