@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from matchgrid.llm import exact_dedup, html_text, katz, packing, secrets, token_files, toxicity, trie_bpe
+from matchgrid.llm import exact_dedup, html_text, katz, ngram_join, packing, secrets, token_files, toxicity, trie_bpe
 
 
 def queries():
     return {
         "op1_katz": katz.op1_katz,
         "op2_secret_scan": secrets.op2_secret_scan,
+        "op3_ngram_join": ngram_join.op3_ngram_join,
         "op4_trie_bpe": trie_bpe.op4_trie_bpe,
         "op6_html_text": html_text.op6_html_text,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
@@ -21,5 +22,6 @@ def queries():
 
 def oracle_sql():
     return {
+        "op3_ngram_join": ngram_join.SQL,
         "op7_exact_dedup": exact_dedup.SQL,
     }
