@@ -1 +1,60 @@
-"""The corpus pipeline."""
+"""A training corpus from documents: toxic texts out, copies out, near copies out, secrets blanked, tokens packed.
+
+Every stage reads the whole of what its predecessor kept, which is written as Parquet in between. All but the last
+return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchgrid.llm import exact_dedup, ngram_join, packing, secrets, storage, tokens
+from matchgrid.llm import toxicity as tox
+
+#: Of what a stage keeps aside. It can go as soon as the next stage begins, for by then the stage's result is written.
+TAG = "pipeline"
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the lexicon model, learned from the table of labels, does not call toxic."""
+    storage.clean(spark, TAG)
+    model = tox.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return tox.scores(docs, model, to="_toxicity").where(F.col("_toxicity") < 0.5).drop("_toxicity")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each text, the one with the smallest id."""
+    storage.clean(spark, TAG)
+    return exact_dedup.drop_duplicates(docs, tag=TAG)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked shingle sets, the one with the smallest id."""
+    storage.clean(spark, TAG)
+    return ngram_join.keep_one(docs, tag=TAG)
+
+
+def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with secrets replaced by a mark."""
+    storage.clean(spark, TAG)
+    return secrets.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences, without their ids."""
+    storage.clean(spark, TAG)
+    return packing.pack(docs, tokens.default_path(), tag=TAG).drop("ids")
+
+
+STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("n-gram Jaccard join", near), ("secret scans", blank_secrets), ("packing", pack)]
+
+#: SQL cannot express the stages that learn, scan or tokenise.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = storage.written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

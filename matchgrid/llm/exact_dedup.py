@@ -60,7 +60,7 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag:
     )
 
 
-def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tag: str = "") -> DataFrame:
     """The rows of df whose text has no earlier equal, with df's own columns.
 
     Rows of frequent digests are dropped where they are read, but for one candidate per digest and task; only
@@ -71,7 +71,7 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.col(id_col).alias("_id"),
         F.sha2(F.encode(normalised(F.col(text_col)), "UTF-8"), 256).alias("_digest"),
     )
-    keys = storage.written(inner.select("_id", "_digest").withColumn("_row", F.lit(0)), "digests", tag="pipeline")
+    keys = storage.written(inner.select("_id", "_digest").withColumn("_row", F.lit(0)), "digests", tag=tag)
     heavy = frequent(keys, "_digest").select("_digest", F.col("_first.id").alias("_keep"))
     both = inner.join(F.broadcast(heavy.withColumn("_heavy", F.lit(True))), "_digest", "left")
     both = both.where(F.col("_heavy").isNull() | F.col("_id").eqNullSafe(F.col("_keep")))
