@@ -27,19 +27,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:  # noqa: N802
-    return _QUERIES["flagship"](spark, sf_dir)
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["flagship"](spark, sf_dir)
 
 
-@query("nation_sizes", "SELECT n_regionkey AS region, count(*) AS nations FROM nation GROUP BY n_regionkey")
-def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import functions as F
-
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").groupBy(F.col("n_regionkey").alias("region")).agg(F.count("*").alias("nations"))
+def _load() -> None:
+    """Import the modules that register queries."""
+    from matchgrid.plans import pair_queries  # noqa: F401
