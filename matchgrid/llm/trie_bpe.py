@@ -3,15 +3,16 @@
 The encoding of a word's prefix is known from its last token alone: the encoding of a prefix p that ends in token t is
 the encoding of p without t, followed by t, and t is the only vocabulary token that ends p and is compatible with the
 last token before it. Two tokens are compatible if plain BPE leaves their concatenation as these two. So distinct words
-go into a trie, and a depth-first walk gives every node its last token from its ancestors' last tokens: the encoding
-of a prefix that many words share is worked out once. A word's ids are read off by stepping back, token by token.
+go into a trie, and a depth-first walk gives every node its last token from those of its ancestors: the encoding of a
+prefix that many words share is worked out once. A word's ids are read off by stepping back, token by token.
 
 A word's last character carries the end-of-word suffix, so it is a symbol of its own; the trie keeps it as an edge
 beside the plain character's.
 
 Normalisation and splitting into words are the tokenizers library's own, applied to distinct pieces of text between
-spaces; special tokens are found in them first, as the library does. Words and pieces are cached per task; a cache that
-is full is emptied, which costs time but drops nothing.
+spaces; special tokens are found in them first, as the library does. Pieces of printable Latin letters, signs and
+digits below U+0250, whose properties no version of Unicode changes, take a shorter way to the same words. Pieces are
+cached per worker; a cache that is full is emptied, which costs time but drops nothing.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pieces, and trie nodes, that a task keeps before it starts afresh.
-MAX_PIECES = 300_000
-MAX_NODES = 400_000
+from matchgrid.llm.tokens import _byte_chars
+
+#: Pieces, and compatible pairs, that a worker keeps before it starts afresh; documents whose words share a trie.
+MAX_PIECES = 700_000
+MAX_PAIRS = 400_000
+TOGETHER = 1024
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -48,11 +52,6 @@ class TrieBPE:
             for s in reversed(self.symbols[t]):
                 node = node.setdefault(s, {})
             node[None] = t
-        self.clear()
-
-    def clear(self) -> None:
-        self.nodes: list[tuple] = [(-1, None, 0)]  # parent, last token, its number of symbols
-        self.edges: dict[tuple[int, str], int] = {}
 
     def _symbols(self, token: str) -> tuple[str, ...]:
         if self.suffix and token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -73,65 +72,56 @@ class TrieBPE:
     def compatible(self, a: str, b: str) -> bool:
         found = self.pairs.get((a, b))
         if found is None:
-            if len(self.pairs) > MAX_NODES:
+            if len(self.pairs) > MAX_PAIRS:
                 self.pairs.clear()
             found = self.pairs[a, b] = self._plain(self.symbols[a] + self.symbols[b]) == [a, b]
         return found
 
-    def _last(self, node: int, symbol: str) -> tuple[str, int]:
-        """The last token of the prefix that ends with symbol after node, the longest candidates first."""
-        found, level, at, path = [], self.back.get(symbol), node, 1
-        while level is not None:
-            if None in level:
-                found.append((level[None], at, path))
-            parent, step = self.nodes[at][0], self.steps[at]
-            if parent < 0:
-                break
-            level, at, path = level.get(step), parent, path + 1
-        for token, before, n in reversed(found):
-            previous = self.nodes[before][1]
-            if previous is None or self.compatible(previous, token):
-                return token, n
-        raise ValueError(f"no token ends in {symbol!r}")
-
-    steps: list[str]
-
-    def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
-        """The ids of each distinct word."""
-        if len(self.nodes) > MAX_NODES:
-            self.clear()
-        if len(self.nodes) == 1:
-            self.steps = [""]
-        ends: dict[str, int] = {}
-        fresh: dict[int, list[int]] = {}
-        for word in words:
-            at = 0
-            last = len(word) - 1
-            for k, c in enumerate(word):
-                s = c + self.suffix if k == last else c
-                to = self.edges.get((at, s))
-                if to is None:
-                    to = self.edges[at, s] = len(self.nodes)
-                    self.nodes.append((at, None, 0))
-                    self.steps.append(s)
-                    fresh.setdefault(at, []).append(to)
-                at = to
-            ends[word] = at
-        tops = [n for p, ns in fresh.items() if self.nodes[p][1] is not None or p == 0 for n in ns]
-        while tops:  # depth first
-            n = tops.pop()
-            parent = self.nodes[n][0]
-            self.nodes[n] = (parent, *self._last(parent, self.steps[n]))
-            tops += fresh.get(n, ())
-        out = {}
-        for word, at in ends.items():
-            ids: list[int] = []
+    def encode(self, words: Iterable[str]) -> dict[str, list[str]]:
+        """The tokens of each distinct word.
+
+        Sorted words are a trie in depth-first order: a word's path to the root is its predecessor's as far as both
+        agree, and only the rest are new nodes.
+        """
+        out: dict[str, list[str]] = {}
+        path: list[str] = []  # symbols of the inner nodes from the root
+        last: list[str] = [""]  # the last token of each prefix of the path
+        size: list[int] = [0]  # and its number of symbols
+        known, compatible, back, suffix, previous = self.pairs, self.compatible, self.back, self.suffix, ""
+        for word in sorted(words):
+            end = len(word) - 1
+            most, n = min(end, len(path)), 0
+            while n < most and word[n] == previous[n]:
+                n += 1
+            del path[n:], last[n + 1 :], size[n + 1 :]
+            for k in range(n, end + 1):
+                symbol = word[k]
+                level, at, ends = back[symbol if k < end else symbol + suffix], k, []
+                while level is not None:  # tokens that end here, with the length of the prefix before them
+                    if None in level:
+                        ends.append((level[None], at))
+                    if not at:
+                        break
+                    at -= 1
+                    level = level.get(path[at])
+                while ends:  # the longest first; one always fits
+                    token, at = ends.pop()
+                    if not at:
+                        break
+                    fits = known.get((last[at], token))
+                    if fits or fits is None and compatible(last[at], token):
+                        break
+                if k < end:
+                    path.append(symbol)
+                    last.append(token)
+                    size.append(k + 1 - at)
+            tokens = [token]
             while at:
-                _, token, n = self.nodes[at]
-                ids.append(self.vocab[token])
-                for _ in range(n):
-                    at = self.nodes[at][0]
-            out[word] = ids[::-1]
+                tokens.append(last[at])
+                at -= size[at]
+            tokens.reverse()
+            out[word] = tokens
+            previous = word
         return out
 
 
@@ -140,6 +130,8 @@ class Codec:
 
     #: White space that surely ends a word, whatever the normaliser does with the rest.
     BLANK = re.compile(r"[ \t\n\r\x0b\x0c]+")
+    #: Characters that normalisation only puts in lower case, one for one.
+    SIMPLE = re.compile(r"[!-~\xa1-\u012f\u0131-\u024f]+")
 
     def __init__(self, path: str):
         import json
@@ -151,6 +143,12 @@ class Codec:
         model = spec["model"]
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
         library = Tokenizer.from_file(path)
+        stages = {t["type"] for t in spec["normalizer"]["normalizers"]}
+        split, bytes_ = spec["pre_tokenizer"]["pretokenizers"]
+        if stages != {"NFC", "Replace", "Lowercase"} or split["behavior"] != "Removed" or bytes_["type"] != "ByteLevel" or bytes_["use_regex"]:
+            raise ValueError(f"{path} normalises or splits in a way that is not supported")
+        self.words = regex.compile(split["pattern"]["Regex"])
+        self.bytes = {b: chr(c) for b, c in _byte_chars().items() if b != c}
         self.normalise = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
         self.trie = TrieBPE(model["vocab"], merges, model["end_of_word_suffix"] or "")
@@ -158,10 +156,15 @@ class Codec:
         self.marks = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")")
         names = {i: t for t, i in (model["vocab"] | self.special).items()}
         self.names = [names.get(k, "") for k in range(max(names) + 1)]
+        self.codes = {t: i.to_bytes(4, "little") for t, i in (model["vocab"] | self.special).items()}
         self.pieces: dict[str, tuple[bytes, str]] = {}
 
     def _words(self, piece: str) -> list[str | int]:
         """Words in base symbols, and the ids of special tokens."""
+        if self.SIMPLE.fullmatch(piece) and "<|" not in piece:
+            low = piece.lower()
+            found = [low] if low.isalpha() else self.words.findall(low)
+            return found if low.isascii() else [w.encode().decode("latin-1").translate(self.bytes) for w in found]
         out: list[str | int] = []
         for part in self.marks.split(piece):
             if part in self.special:
@@ -172,10 +175,11 @@ class Codec:
 
     def _learn(self, pieces: Iterable[str]) -> None:
         split = {p: self._words(p) for p in pieces}
-        known = self.trie.encode(dict.fromkeys(w for ws in split.values() for w in ws if isinstance(w, str)))
+        known = self.trie.encode({w for ws in split.values() for w in ws if isinstance(w, str)})
+        codes, names = self.codes, self.names
         for p, ws in split.items():
-            ids = [i for w in ws for i in (known[w] if isinstance(w, str) else (w,))]
-            self.pieces[p] = np.array(ids, "<u4").tobytes(), " ".join(self.names[i] for i in ids)
+            tokens = [t for w in ws for t in (known[w] if isinstance(w, str) else (names[w],))]
+            self.pieces[p] = b"".join([codes[t] for t in tokens]), " ".join(tokens)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """For each text its ids (little-endian uint32) and the ids' decoded text."""
@@ -213,8 +217,8 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary_path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
                 done = c.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([x for x, _ in done], pa.binary()), pa.array([y for _, y in done], pa.string())], ["doc_id", "ids", "decoded"]
@@ -230,8 +234,8 @@ def digests(df: DataFrame, vocabulary_path: str) -> DataFrame:
         c = codec(vocabulary_path)
         sha = lambda b: hashlib.sha256(b).hexdigest()
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                part = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(k, TOGETHER)
                 done = c.encode([t or "" for t in part.column(1).to_pylist()])
                 yield pa.RecordBatch.from_pydict(
                     {

@@ -63,7 +63,7 @@ def test_mergeable_words(words):
 
 def test_small_caches(monkeypatch, library, spark, sf):
     monkeypatch.setattr(trie_bpe, "MAX_PIECES", 50)
-    monkeypatch.setattr(trie_bpe, "MAX_NODES", 200)
+    monkeypatch.setattr(trie_bpe, "MAX_PAIRS", 200)
     texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(30).collect()]
     same(texts, library)
     for t in texts[:10]:
