@@ -23,7 +23,7 @@ def from_names(paths: DataFrame, layout: str, subset: str, prefix: str = "", dro
     p = PATTERNS[layout]
     name = F.element_at(F.split(F.col(column), "/"), -1)
     pid, cam = F.regexp_extract(name, p, 1), F.regexp_extract(name, p, 2)
-    rows = paths.select(F.lit(subset).alias("subset"), F.col(column).alias("path"), pid.cast("int").alias("n"), cam.cast("int").alias("c"))
+    rows = paths.select(F.lit(subset).alias("subset"), F.col(column).alias("path"), pid.try_cast("int").alias("n"), cam.try_cast("int").alias("c"))
     rows = rows.where(F.col("n").isNotNull() & ~F.col("n").isin(*drop)) if drop else rows.where("n is not null")
     tag = lambda c: F.concat(F.lit(prefix), c.cast("string"))
     return rows.select("subset", "path", tag(F.col("n")).alias("pid"), tag(F.col("c") - 1).alias("camid"))

@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 OCCLUDED_ABOVE = 0.3
 VISIBLE_FROM = 0.5
 
-CROP = """crop_file STRING, frame INT, timestamp_s DOUBLE, bbox_xyxy ARRAY<DOUBLE>, bbox_wh ARRAY<DOUBLE>,
-crop_transform STRUCT<pad_x: DOUBLE, pad_y: DOUBLE>, position_road_m ARRAY<DOUBLE>, distance_m DOUBLE, position_reliable BOOLEAN,
-view_azimuth_deg DOUBLE, view_bin STRING, occluded_annot BOOLEAN, overlap_by_closer_box DOUBLE, quality MAP<STRING, STRING>,
-keypoints STRUCT<schema: STRING, points: ARRAY<ARRAY<DOUBLE>>, visible: ARRAY<BOOLEAN>, visibility_threshold: DOUBLE>"""
-SCHEMA = f"""video_id STRING, site STRING, country STRING, orient STRING, pov STRING, time STRING, fps DOUBLE,
+SCHEMA = """video_id STRING, site STRING, country STRING, orient STRING, pov STRING, time STRING, fps DOUBLE,
 calibration STRUCT<available: BOOLEAN>, crop_params STRUCT<effective_fps: DOUBLE>, quality_params STRING, n_tracks INT, n_crops INT,
-tracks ARRAY<STRUCT<track_id: INT, tracklet_id: STRING, identity_id: STRING, label: STRING, n_crops: INT,
-  crops: ARRAY<STRUCT<{CROP.replace(' STRING', ': STRING').replace(' INT', ': INT').replace(' DOUBLE,', ': DOUBLE,').replace(' BOOLEAN,', ': BOOLEAN,').replace(' ARRAY<', ': ARRAY<').replace(' STRUCT<', ': STRUCT<').replace(' MAP<', ': MAP<')}>>>>"""
+tracks ARRAY<STRUCT<track_id: INT, tracklet_id: STRING, identity_id: STRING, label: STRING, n_crops: INT, crops: ARRAY<STRUCT<
+  crop_file: STRING, frame: INT, timestamp_s: DOUBLE, bbox_xyxy: ARRAY<DOUBLE>, bbox_wh: ARRAY<DOUBLE>, crop_transform: STRUCT<pad_x: DOUBLE, pad_y: DOUBLE>,
+  position_road_m: ARRAY<DOUBLE>, distance_m: DOUBLE, position_reliable: BOOLEAN, view_azimuth_deg: DOUBLE, view_bin: STRING,
+  occluded_annot: BOOLEAN, overlap_by_closer_box: DOUBLE, quality: MAP<STRING, STRING>,
+  keypoints: STRUCT<schema: STRING, points: ARRAY<ARRAY<DOUBLE>>, visible: ARRAY<BOOLEAN>, visibility_threshold: DOUBLE>>>>>"""
 
 
 def normal_path(p: Column) -> Column:
