@@ -6,6 +6,7 @@ costs only its running tasks. Nothing is kept in a machine-local folder or as a
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -14,16 +15,24 @@ from pyspark.sql import functions as F
 
 #: Folders written by this driver, by tag, until clean() removes them.
 _written: dict[str, list[str]] = {}
+#: Our own folder, by application, where the cluster names none.
+_own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine) a folder of our own."""
     sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not found:
+        found = _own.get(sc.applicationId)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="matchgrid-")
         sc.setCheckpointDir(found)
-    return str(found).rstrip("/")
+        _own[sc.applicationId] = found
+    # Qualified, so that code outside the JVM sees the same file system as Spark's readers and writers.
+    where = sc._jvm.org.apache.hadoop.fs.Path(str(found))
+    uri = str(where.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString()).rstrip("/")
+    return "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
 
 
 def new_path(spark: SparkSession, name: str, tag: str = "") -> str:
@@ -38,7 +47,20 @@ def written(df: DataFrame, name: str, *partition_by: str, tag: str = "") -> Data
     path = new_path(spark, name, tag)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_at = path
+    return table
+
+
+def release(spark: SparkSession, table: DataFrame | None = None, part: str = "") -> None:
+    """Delete a part of a written table that is no longer needed, and let Spark's cleaner find the shuffle files of
+    finished stages, whose results are written: it acts on what the driver's garbage collector has freed."""
+    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    if table is not None:
+        where = jvm.org.apache.hadoop.fs.Path(f"{table.written_at}/{part}")
+        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def clean(spark: SparkSession, tag: str = "") -> None:
