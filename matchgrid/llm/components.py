@@ -45,11 +45,17 @@ def _local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["y", "x"])
 
 
+def _settled(stars: DataFrame) -> bool:
+    """Whether every node hangs on one node only, and none on a node that hangs itself."""
+    twice = stars.groupBy("y").agg(F.count("*").alias("n")).where("n > 1")
+    return twice.isEmpty() and stars.join(stars.select(F.col("y").alias("x")).distinct(), "x", "left_semi").isEmpty()
+
+
 def components(edges: DataFrame, tag: str = "") -> DataFrame:
     """edges: a, b (long). Returns y, x: each node that is not its component's least, and that least node."""
     edges = edges.select(F.greatest("a", "b").alias("y"), F.least("a", "b").alias("x")).where("y <> x").mapInArrow(_local, "y long, x long").distinct()
     stars = storage.written(edges, "edges", tag=tag)
-    while not stars.join(stars.select(F.col("y").alias("x")).distinct(), "x", "left_semi").isEmpty():
+    while not _settled(stars):
         least = stars.groupBy("y").agg(F.min("x").alias("m"))
         small = stars.join(least, "y").select(F.explode(F.array(F.struct("y", "m"), F.struct(F.col("x").alias("y"), "m"))).alias("e"))
         small = small.select("e.y", F.col("e.m").alias("x")).where("y <> x").distinct()
