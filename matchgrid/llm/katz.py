@@ -378,19 +378,15 @@ def train_and_score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def of_kind(table: DataFrame, *kinds: str) -> DataFrame:
         return table.where(F.col("kind").isin(*kinds))
 
-    def release() -> None:
-        """Lets Spark delete the shuffle files of stages that are done; their results are written."""
-        spark.sparkContext._jvm.System.gc()
-
     blocks = storage.written(make_blocks(rows, buckets, held_of, held_rest), "katz-blocks", "kind", tag=tag)
     words = storage.written(count_words(of_kind(blocks, "voc"), buckets), "katz-words", "kind", tag=tag)
-    release()
+    storage.release(spark, blocks, "kind=voc")
     level = _levels(words)
     unigram = Unigram(level)
     often = max(1000, level.total // (8 * buckets))
     docs, first = of_kind(blocks, "doc"), of_kind(words, "re1")
     pairs = storage.written(count_bigrams(send_bigrams(docs, first, buckets, often), unigram), "katz-bigrams", "kind", tag=tag)
-    release()
+    storage.release(spark)
     level2 = _levels(pairs)
     parts = of_kind(pairs, "hot").groupBy("history").agg(*(F.sum(F.col("sums")[j]).alias(f"s{j}") for j in range(K + 2)))
     hot = {r.history: [r[f"s{j}"] for j in range(K + 2)] for r in parts.collect()}  # 8 * buckets rows at most

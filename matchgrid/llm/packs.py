@@ -28,7 +28,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
             raw = np.ascontiguousarray(a).tobytes()
         head.append(struct.pack("<2sQ", a.dtype.str[1:].encode(), len(a)))
         body.append(raw)
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(head + body))
+    return zstandard.ZstdCompressor(level=5).compress(b"".join(head + body))
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
