@@ -40,7 +40,7 @@ from matchgrid.llm import storage
 from matchgrid.llm.packs import pack, unpack
 
 #: Tokens of a block, bytes of text for a bucket, counts up to which Good-Turing discounts apply.
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 5_000_000
 BUCKET_BYTES = 8_000_000
 K = 5
 #: The end of a text, which is also the history of its first token. No word is empty.
@@ -224,19 +224,23 @@ class _Block:
         doc = next(p for k, p in zip(kinds, payloads, strict=True) if k == "doc")
         self.flat, self.n, self.held, keys, null, (types,) = unpack(doc)
         self.keys = [None if x else int(k) for k, x in zip(keys.view(np.int64) if keys.dtype == np.uint64 else keys.astype(np.int64), null, strict=True)]
-        self.flat, self.n = self.flat.astype(np.int64), self.n.astype(np.int64)
-        types = int(types)
+        self.n, types = self.n.astype(np.int64), int(types)
         self.gid, self.count = np.zeros(types, np.uint64), np.zeros(types, np.int64)
         for k, p in zip(kinds, payloads, strict=True):
             if k == "re1":
                 local, gid, c = unpack(p)
                 self.gid[local], self.count[local] = gid, c
         self.ends = np.cumsum(self.n)
-        before = np.concatenate([[self.flat[self.ends[0] - 1]], self.flat[:-1]])  # the end precedes each first token
-        pairs, self.entry = np.unique(before * types + self.flat, return_inverse=True)
-        self.history, self.word = np.divmod(pairs, types)
+        key = np.empty(len(self.flat), np.uint64)
+        key[0], key[1:] = self.flat[self.ends[0] - 1], self.flat[:-1]  # the end precedes each first token
+        key *= np.uint64(types)
+        key += self.flat
+        pairs, entry = np.unique(key, return_inverse=True)
+        self.entry = entry.astype(np.int32)
+        self.history, self.word = (x.astype(np.int64) for x in np.divmod(pairs, np.uint64(types)))
+        del key, pairs, entry
         train = np.repeat(self.held == 0, self.n)
-        self.train = np.bincount(self.entry[train], minlength=len(pairs))
+        self.train = np.bincount(self.entry[train], minlength=len(self.word))
         self.hot = self.count[self.history] > often
         h, w = self.gid[self.history], self.gid[self.word]
         key = h * _MIX ^ np.where(self.hot, (w + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0))
