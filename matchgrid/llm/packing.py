@@ -189,7 +189,8 @@ def pack(
     )
     if not names:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
-    parts = parts.select(F.col("task").alias("t"), F.col("queue").alias("q"), "ahead")
+    # As a table its size is known when the join is planned: Spark broadcasts it only below its threshold.
+    parts = storage.written(parts.select(F.col("task").alias("t"), F.col("queue").alias("q"), "ahead"), "packing-starts", tag=tag)
     placed = done.join(parts, (F.col("task") == F.col("t")) & F.col("queue").eqNullSafe(F.col("q")))
     placed = placed.select("id", "queue", (F.col("ahead") + F.col("before")).alias("first"), "ids")
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
