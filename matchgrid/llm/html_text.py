@@ -38,6 +38,8 @@ SKIP = frozenset(
     "script style noscript template head title nav footer header aside form button select textarea svg math canvas iframe object audio video map menu dialog search fieldset datalist".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What may stand in a head; anything else ends one that was not closed.
+IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript template".split())
 #: Closed by the start of another block: a paragraph, or an item by the next item.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINER = frozenset(("article", "main"))
@@ -82,6 +84,8 @@ class _Lines(HTMLParser):
         self.parts, self.linked, self.heading = [], 0, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.open and (tag == "body" or tag not in IN_HEAD and self.open[-1][0] == "head"):
+            self._end_head()
         if not self.unwanted:
             self.tags += 1
         if tag in VOID:
@@ -92,8 +96,12 @@ class _Lines(HTMLParser):
             return
         if tag in BLOCK:
             self.flush()
-            if self.open and self.open[-1][0] == "p":
-                self._close(len(self.open) - 1)
+            for k in range(len(self.open) - 1, -1, -1):  # a p ends here, with the inline elements that are open inside it
+                if self.open[k][0] == "p":
+                    self._close(k)
+                    break
+                if self.open[k][0] in BLOCK or self.open[k][0] in SKIP:
+                    break
             for k in range(len(self.open) - 1, max(-1, len(self.open) - 4), -1):
                 if self.open[k][0] in CLOSES.get(tag, ()):
                     self._close(k)
@@ -127,6 +135,13 @@ class _Lines(HTMLParser):
             self.links -= tag == "a"
             self.container = container
 
+    def _end_head(self) -> None:
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == "head":
+                return self._close(k)
+            if self.open[k][0] == "body":
+                return
+
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
 
@@ -153,6 +168,8 @@ class _Lines(HTMLParser):
                 return  # an end without a start inside the container
 
     def handle_data(self, data: str) -> None:
+        if self.open and self.open[-1][0] == "head" and not data.isspace():
+            self._end_head()
         if not self.unwanted:
             self.parts.append(data)
             if self.links:

@@ -29,6 +29,14 @@ def test_odd_pages():
     assert html_text.main_text("<article>" + "<p>word " * 20000 + "</article>").count("\n") == 19999
 
 
+def test_open_head_and_paragraphs():
+    for start in ("<html><head><title>T</title><body><article><p>", "<head><title>T</title><meta name=x><article><p>", "<head><style>p{}</style><div><p>"):
+        assert html_text.main_text(f"{start}{PARA}") == PARA
+    assert html_text.main_text(f"<head><title>T</title>{PARA}") == PARA
+    assert html_text.main_text(f"<head><noscript><img src=x></noscript><title>T</title></head><body><p>{PARA}") == PARA
+    assert html_text.main_text(f"<body><p class=ad><b>Buy <i>this<p>{PARA}<p>{PARA}") == f"{PARA}\n{PARA}"
+
+
 def test_smoothing():
     x = np.array([0.0, 0, 9, 0, 0, 0])
     k = np.exp(-0.5 * (np.arange(-2, 3)) ** 2)
