@@ -2,8 +2,14 @@
 
 The standard library's parser streams events; a page is never held as a tree. A line is what a browser would set as
 one block: text between starts and ends of block elements. Each line has its text's length, its number of tags and how
-much of its text is inside links. Lines in navigation, headers, footers, sidebars, forms, scripts, adverts, notices
-and comments are left out as they stream, told by element, role, and whole words of class and id.
+much of its text is inside links. Lines in navigation, headers, footers, forms, scripts and hidden elements are left
+out as they stream, told by element, role and style.
+
+Words of class and id that speak of adverts, notices, sidebars or comments are hints, weighed when the page's text is
+known. A name is whole if all its words are such ones ("cookie-notice") and mixed if others are among them
+("has-sidebar", "related-work"). An element goes if most of its text is in links, or if it is short and its name is
+whole, or mixed and outside articles. A heading saves a short element inside an article, or of a mixed name. Hints never touch article, main and headings, nor an element
+that holds more than half of the page's text.
 
 The ratios of the remaining lines are smoothed with a Gaussian kernel inside each container (the nearest article, main
 or body), and clustered against a threshold: a container is content if its share of lines above the threshold's level
@@ -44,12 +50,18 @@ IN_HEAD = frozenset("base basefont bgsound link meta title style script noscript
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CONTAINER = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog alert".split())
-#: Whole words of class and id that mark what is not the article.
+#: Words of class and id that hint at what is not the article.
 UNWANTED = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promotions cookie cookies consent gdpr notice notices notification alert popup modal overlay "
     "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar side rail widget widgets footer masthead topbar toolbar comment comments disqus respond reply replies discussion "
     "related recommended recommendations share sharing social newsletter subscribe subscription signup login pagination pager skip copyright legal disclaimer teaser outbrain taboola".split()
 )
+#: Words of layout, which leave a name whole.
+NEUTRAL = frozenset("area bar block bottom box button buttons container group inner item items left links list outer panel right section slot top unit wrap wrapper".split())
+#: Elements that hints do not touch.
+UNHINTED = frozenset(("html", "body")) | CONTAINER | HEADING
+#: Characters outside links up to which a hinted element is short.
+SHORT = 200
 #: Of these a page's own header inside the article is meant, which may hold its title.
 KEPT_IN_ARTICLE = frozenset(("header", "hgroup"))
 _WORDS = re.compile(r"[a-z]+")
@@ -63,25 +75,74 @@ class Line:
     linked: int
     container: int
     heading: bool
+    hinted: bool = False
+
+
+@dataclass
+class Hint:
+    """An element whose class or id hints that it is not the article, and its text with that of the hinted ones in it."""
+
+    parent: int
+    whole: bool
+    inside: bool
+    heading: bool = False
+    chars: int = 0
+    linked: int = 0
 
 
 class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[Line] = []
-        self.parts: list[str] = []
-        self.tags = self.linked = 0
+        self.raw: list[tuple] = []  # parts, container, heading
+        self.parts: list[tuple[str, bool, int, int]] = []  # text, in a link, hint, tags before it
+        self.tags = 0
         self.heading = False
-        self.open: list[tuple[str, bool, int]] = []  # element, unwanted, container before it
+        self.open: list[tuple[str, bool, int, int]] = []  # element, unwanted, container and hint before it
         self.unwanted = self.links = 0
         self.container, self.containers = 0, 1
+        self.hint, self.hints = 0, [Hint(0, False, False)]  # the first is the whole page
 
     def flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        if text:
-            self.lines.append(Line(text, self.tags, self.linked, self.container, self.heading))
-            self.tags = 0
-        self.parts, self.linked, self.heading = [], 0, False
+        if any(data and not data.isspace() for data, *_ in self.parts):
+            self.raw.append((self.parts, self.container, self.heading))
+        elif self.parts:
+            self.tags += sum(p[3] for p in self.parts)
+        self.parts, self.heading = [], False
+
+    def lines(self) -> list[Line]:
+        """The lines outside elements that go by their hints."""
+        hints = self.hints
+        for parts, _, heading in self.raw:
+            for data, linked, hint, _ in parts:
+                h, n = hints[hint], len(data.strip())
+                h.heading |= heading
+                h.chars += n
+                h.linked += n * linked
+        for h in reversed(hints[1:]):
+            up = hints[h.parent]
+            up.heading |= h.heading
+            up.chars += h.chars
+            up.linked += h.linked
+        total = hints[0].chars - hints[0].linked
+        gone, doubtful = [False] * len(hints), [False] * len(hints)
+        for k, h in enumerate(hints[1:], 1):
+            own = h.chars - h.linked
+            gone[k], doubtful[k] = gone[h.parent], doubtful[h.parent]
+            if 2 * own > total:
+                continue
+            if 2 * h.linked > h.chars or own <= SHORT and (h.whole or not h.inside) and not (h.heading and (h.inside or not h.whole)):
+                gone[k] = True
+            doubtful[k] |= h.whole and not h.inside
+        out, tags = [], 0
+        for parts, container, heading in self.raw:
+            kept = [p for p in parts if not gone[p[2]]]
+            text = " ".join("".join(p[0] for p in kept).split())
+            tags += sum(p[3] for p in kept)
+            if text:
+                doubt = all(doubtful[p[2]] for p in kept)
+                out.append(Line(text, tags, sum(len(p[0]) for p in kept if p[1]), 0 if doubt else container, heading, doubt))
+                tags = 0
+        return out
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.open and (tag == "body" or tag not in IN_HEAD and self.open[-1][0] == "head"):
@@ -90,7 +151,7 @@ class _Lines(HTMLParser):
             self.tags += 1
         if tag in VOID:
             if tag == "br" or tag == "hr":
-                self.parts.append(" ")
+                self._add(" ", False)
                 if tag == "hr":
                     self.flush()
             return
@@ -109,19 +170,26 @@ class _Lines(HTMLParser):
                 if self.open[k][0] in ("ul", "ol", "table", "dl", "div"):
                     break
         bad = tag in SKIP and not (tag in KEPT_IN_ARTICLE and self.container)
+        hinted = whole = False
         for name, value in attrs:
             if value and not bad:
                 if name in ("class", "id"):
-                    bad = tag not in ("body", "html") and not UNWANTED.isdisjoint(_WORDS.findall(value.lower()))
+                    for words in map(_WORDS.findall, value.lower().split() if tag not in UNHINTED else ()):
+                        if not UNWANTED.isdisjoint(words):
+                            hinted = True
+                            whole |= all(w in UNWANTED or w in NEUTRAL for w in words)
                 elif name == "role":
                     bad = value.strip().lower() in ROLES
                 elif name == "style":
                     bad = "display:none" in value.replace(" ", "").lower()
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
                 bad = True
-        self.open.append((tag, bad, self.container))
+        self.open.append((tag, bad, self.container, self.hint))
         self.unwanted += bad
         self.links += tag == "a"
+        if hinted and not self.unwanted:
+            self.hints.append(Hint(self.hint, whole, self.container > 0))
+            self.hint = len(self.hints) - 1
         if tag in CONTAINER and not self.unwanted:
             self.container, self.containers = self.containers, self.containers + 1
         if tag in HEADING:
@@ -130,10 +198,14 @@ class _Lines(HTMLParser):
     def _close(self, k: int) -> None:
         self.flush()
         while len(self.open) > k:
-            tag, bad, container = self.open.pop()
+            tag, bad, container, hint = self.open.pop()
             self.unwanted -= bad
             self.links -= tag == "a"
-            self.container = container
+            self.container, self.hint = container, hint
+
+    def _add(self, data: str, linked: bool) -> None:
+        self.parts.append((data, linked, self.hint, self.tags))
+        self.tags = 0
 
     def _end_head(self) -> None:
         for k in range(len(self.open) - 1, -1, -1):
@@ -152,16 +224,20 @@ class _Lines(HTMLParser):
             return
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][0] == tag:
-                if tag in BLOCK or self.open[k][1] or any(t in BLOCK or bad for t, bad, _ in self.open[k:]):
+                if tag in BLOCK or self.open[k][1] or any(t in BLOCK or bad for t, bad, *_ in self.open[k:]):
                     if tag in BLOCK or tag in SKIP:
                         self._close(k)
                     else:  # an inline element that ends after blocks began inside it
-                        t, bad, _ = self.open.pop(k)
+                        t, bad, _, hint = self.open.pop(k)
+                        own = self.open[k][3] if k < len(self.open) else self.hint
+                        self.hint = hint if self.hint == own else self.hint
+                        self.open[k:] = [(*x[:3], hint if x[3] == own else x[3]) for x in self.open[k:]]
                         self.unwanted -= bad
                         self.links -= t == "a"
                 else:
-                    for t, _, _ in self.open[k:]:
+                    for t, *_ in self.open[k:]:
                         self.links -= t == "a"
+                    self.hint = self.open[k][3]
                     del self.open[k:]
                 return
             if self.open[k][0] in ("article", "main", "body") and tag not in ("html", "body", "article", "main"):
@@ -171,9 +247,7 @@ class _Lines(HTMLParser):
         if self.open and self.open[-1][0] == "head" and not data.isspace():
             self._end_head()
         if not self.unwanted:
-            self.parts.append(data)
-            if self.links:
-                self.linked += len(data)
+            self._add(data, self.links > 0)
 
 
 def lines(html: str) -> list[Line]:
@@ -182,7 +256,7 @@ def lines(html: str) -> list[Line]:
     p.feed(html)
     p.close()
     p.flush()
-    return p.lines
+    return p.lines()
 
 
 def ratios(rows: list[Line]) -> np.ndarray:

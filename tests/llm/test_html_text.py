@@ -29,6 +29,16 @@ def test_odd_pages():
     assert html_text.main_text("<article>" + "<p>word " * 20000 + "</article>").count("\n") == 19999
 
 
+def test_names_are_hints():
+    body = f"<h2 id=legal-history>History</h2><p>{PARA}</p><section id=related-work><h3>Work</h3><p>Brief.</p></section><section id=discussion><h3>Talk</h3><p>Yes.</p></section><p>{PARA}</p>"
+    want = ["History", PARA, "Work", "Brief.", "Talk", "Yes.", PARA]
+    for start in ('<article class="post no-comments">', '<div class="content has-sidebar"><article>', '<div class=sidebar><main id=menu>', "<article>", '<div id=social class="side notice"><article>'):
+        page = f'<body>{start}{body}<div class="share-buttons">Share this</div><p>Some <span class=ad>buy now</span> more.</article></main></div><div class=related>Read <a href=1>this one</a></div><div class="ad">Buy.</div>'
+        assert html_text.main_text(page).split("\n") == [*want, "Some more."]
+    links = "".join(f"<li><a href={k}>A linked page of some length</a>" for k in range(20))
+    assert html_text.main_text(f"<article>{body}<div class=my-related><h3>More</h3><ul>{links}</ul></div></article>").split("\n") == want
+
+
 def test_open_head_and_paragraphs():
     for start in ("<html><head><title>T</title><body><article><p>", "<head><title>T</title><meta name=x><article><p>", "<head><style>p{}</style><div><p>"):
         assert html_text.main_text(f"{start}{PARA}") == PARA
