@@ -9,13 +9,15 @@ Words of class and id that speak of adverts, notices, sidebars or comments are h
 known. A name is whole if all its words are such ones ("cookie-notice") and mixed if others are among them
 ("has-sidebar", "related-work"). An element goes if most of its text is in links, or if it is short and its name is
 whole, or mixed and outside articles. A heading saves a short element inside an article, or of a mixed name. Hints never touch article, main and headings, nor an element
-that holds more than half of the page's text.
+that holds more than half of the page's text, unless that is short, the name whole and an article elsewhere.
 
-The ratios of the remaining lines are smoothed with a Gaussian kernel inside each container (the nearest article, main
-or body), and clustered against a threshold: a container is content if its share of lines above the threshold's level
-says so. Of a page's article and main containers, those with content are taken whole, from their first line to their
-last, so that short paragraphs and headings between long ones stay. A page without such containers gives the regions
-of lines above the threshold, with the gaps inside a region, and headings just before it.
+The ratios of the remaining lines are smoothed with a Gaussian kernel, over neighbours in the same container (the
+outermost article or main; what lies outside them is one too), and all lines of the page are clustered against one
+threshold. A line is content if its level reaches the threshold and less than half of it is links. The container is a
+prior: inside one a PRIOR-th of the threshold is enough, in long elements whose whole name hints at adverts, notices or
+comments it takes PRIOR times the threshold. A container with content gives its other lines too, so that short
+paragraphs and headings stay, but for runs of links, which no smoothing lifts. Outside containers the regions of content
+lines are taken, with the gaps inside a region. A heading at most three lines before a line that is taken comes with it.
 
 Defined results: null html counts as empty; a page without content gives an empty text; unclosed and misnested tags
 are closed as browsers roughly do; whole pages are parsed whatever their length; repeated rows are kept; an empty
@@ -66,6 +68,8 @@ SHORT = 200
 KEPT_IN_ARTICLE = frozenset(("header", "hgroup"))
 _WORDS = re.compile(r"[a-z]+")
 SIGMA, RADIUS = 1.0, 2
+#: How much the threshold gives way inside containers, and rises in doubtful elements.
+PRIOR = 4.0
 
 
 @dataclass
@@ -86,6 +90,7 @@ class Hint:
     whole: bool
     inside: bool
     heading: bool = False
+    article: bool = False
     chars: int = 0
     linked: int = 0
 
@@ -112,15 +117,17 @@ class _Lines(HTMLParser):
     def lines(self) -> list[Line]:
         """The lines outside elements that go by their hints."""
         hints = self.hints
-        for parts, _, heading in self.raw:
+        for parts, container, heading in self.raw:
             for data, linked, hint, _ in parts:
                 h, n = hints[hint], len(data.strip())
                 h.heading |= heading
+                h.article |= container > 0
                 h.chars += n
                 h.linked += n * linked
         for h in reversed(hints[1:]):
             up = hints[h.parent]
             up.heading |= h.heading
+            up.article |= h.article
             up.chars += h.chars
             up.linked += h.linked
         total = hints[0].chars - hints[0].linked
@@ -128,7 +135,7 @@ class _Lines(HTMLParser):
         for k, h in enumerate(hints[1:], 1):
             own = h.chars - h.linked
             gone[k], doubtful[k] = gone[h.parent], doubtful[h.parent]
-            if 2 * own > total:
+            if 2 * own > total and (h.article or not hints[0].article or not h.whole or own > SHORT):
                 continue
             if 2 * h.linked > h.chars or own <= SHORT and (h.whole or not h.inside) and not (h.heading and (h.inside or not h.whole)):
                 gone[k] = True
@@ -190,7 +197,7 @@ class _Lines(HTMLParser):
         if hinted and not self.unwanted:
             self.hints.append(Hint(self.hint, whole, self.container > 0))
             self.hint = len(self.hints) - 1
-        if tag in CONTAINER and not self.unwanted:
+        if tag in CONTAINER and not self.unwanted and not self.container:
             self.container, self.containers = self.containers, self.containers + 1
         if tag in HEADING:
             self.heading = True
@@ -281,23 +288,30 @@ def select(rows: list[Line]) -> list[Line]:
     level = np.zeros(len(rows))
     raw = ratios(rows)
     for at in by.values():
-        level[at] = smooth(raw[at])
-    threshold = min(float(level.std()), float(level.mean()))
-    content = (level >= max(threshold, 1e-9)) & np.array([r.linked <= 0.5 * len(r.text) for r in rows])
-    own = {c: at for c, at in by.items() if c}
-    if own:
-        weight = {c: sum(len(rows[k].text) - rows[k].linked for k in at) for c, at in own.items()}
-        most = max(weight.values())
-        taken = {c for c, at in own.items() if weight[c] >= 0.25 * most and content[at].any()} or {max(weight, key=lambda c: (weight[c], -c))}
-        return [r for r in rows if r.container in taken]
+        for run in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+            level[run] = smooth(raw[run])
+    threshold = max(min(float(level.std()), float(level.mean())), 1e-9)
+    prior = np.array([PRIOR if r.container else 1 / PRIOR if r.hinted else 1.0 for r in rows])
+    links = np.array([r.linked > 0.5 * len(r.text) for r in rows])
+    content = (level * prior >= threshold) & ~links
     keep = content.copy()
-    edges = np.flatnonzero(content)
+    for c, at in by.items():
+        if c and content[at].any():
+            keep[at] = ~links[at] | (level[at] >= threshold)
+    if not keep.any() and any(by):  # only links: the container with the most text
+        keep[by[max((c for c in by if c), key=lambda c: (sum(len(rows[k].text) for k in by[c]), -c))]] = True
+    edges = np.flatnonzero(keep)
     for a, b in zip(edges[:-1], edges[1:], strict=True):  # gaps of a region
-        if b - a <= 3 and all(rows[k].linked <= 0.5 * len(rows[k].text) for k in range(a + 1, b)):
+        if 1 < b - a <= 3 and not any(links[k] or rows[k].container or rows[k].hinted for k in (*range(a, b), b)):
             keep[a + 1 : b] = True
     for k in range(len(rows) - 2, -1, -1):
-        if rows[k].heading and keep[k + 1] and not rows[k].linked:
-            keep[k] = True
+        if rows[k].heading and not rows[k].linked:  # with the lead between it and the text
+            for j in range(k + 1, min(k + 4, len(rows))):
+                if keep[j]:
+                    keep[k:j] = True
+                    break
+                if links[j] or rows[j].hinted:
+                    break
     return [r for k, r in enumerate(rows) if keep[k]]
 
 

@@ -29,6 +29,22 @@ def test_odd_pages():
     assert html_text.main_text("<article>" + "<p>word " * 20000 + "</article>").count("\n") == 19999
 
 
+def test_regions_over_the_whole_page():
+    text = lambda page: html_text.main_text(f"<body>{page}").split("\n")
+    long = "".join(f"<p>{PARA} {PARA} {PARA} {k}" for k in range(10))
+    want = [f"{PARA} {PARA} {PARA} {k}" for k in range(10)]
+    card = "<article><a href=1>A card of the page</a></article>"
+    # text in a div beside one card; a short article beside a long one; title and lead in an article of their own
+    assert text(f"<div>{long}</div>{card}") == want
+    assert text(f"<article><h2>One</h2><p>{PARA}</article><article>{long}</article>") == ["One", PARA, *want]
+    assert text(f"<article><header><h1>Title</h1></header><p>{PARA[:40]}</article><main>{long}</main>") == ["Title", PARA[:40], *want]
+    # parents and nested articles together
+    assert text(f"<article><h1>T</h1><p>{PARA}<article>{long}</article><p>Last.</article>") == ["T", PARA, *want, "Last."]
+    # text outside, and links inside, are told by their ratios
+    links = "".join(f"<li><a href={k}>Linked</a>" for k in range(12))
+    assert text(f"<div>Site</div><h1>Title</h1><p>{PARA} {PARA}</p><article>{long}<ul>{links}</ul></article><div>Imprint</div>") == ["Title", f"{PARA} {PARA}", *want]
+
+
 def test_names_are_hints():
     body = f"<h2 id=legal-history>History</h2><p>{PARA}</p><section id=related-work><h3>Work</h3><p>Brief.</p></section><section id=discussion><h3>Talk</h3><p>Yes.</p></section><p>{PARA}</p>"
     want = ["History", PARA, "Work", "Brief.", "Talk", "Yes.", PARA]
