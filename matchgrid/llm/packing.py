@@ -9,6 +9,10 @@ schedule repeats with a cycle, whose deficits end at zero. A document's place th
 tokens before it in its queue, which are a prefix sum over tasks: deficits carry across partitions without any task
 seeing the tokens of another.
 
+With more than MAX_QUEUES sources those with the most tokens (exact totals) and all that have a target keep queues of
+their own; the small rest shares SHARED queues by hash, where a source's share is not controlled by itself. That bounds
+what the driver holds; every piece names its true source.
+
 All windows but the last are full; only the very last sequence is padded.
 
 Defined results: null text counts as empty (its end id remains); null sources are one queue; repeated rows are packed
@@ -33,8 +37,9 @@ SEQUENCE = 2048
 WINDOW = 64
 #: Windows in a cycle, after which all deficits are zero again.
 CYCLE = 16
-#: Queues; more sources than this share queues by hash, which bounds what the driver holds.
+#: Queues, besides those of sources with a target; with more sources the small ones share SHARED of them.
 MAX_QUEUES = 4096
+SHARED = 1024
 END_ID = 1
 
 
@@ -133,6 +138,18 @@ class Placer:
                     x, m, position = x + cut, m - cut, position + cut
 
 
+def _own_queues(parts: DataFrame, targets: dict[str, float] | None) -> list[str | None]:
+    """The sources that have a queue of their own, in order: all, or those with the most tokens and those with a target."""
+    totals = parts.groupBy("s").agg(F.sum("tokens").alias("tokens"))
+    most = [r.s for r in totals.orderBy(F.desc("tokens"), "s").limit(MAX_QUEUES + 1).collect()]
+    if len(most) > MAX_QUEUES:
+        most = most[: MAX_QUEUES - SHARED]
+        if targets:
+            named = F.broadcast(parts.sparkSession.createDataFrame([(x,) for x in targets], "name string"))
+            most += [r.s for r in totals.join(named, F.col("s").eqNullSafe(F.col("name")), "left_semi").collect()]
+    return sorted(set(most), key=lambda x: (x is None, x))
+
+
 def pack(
     df: DataFrame, vocabulary_path: str, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tag: str = ""
 ) -> DataFrame:
@@ -142,44 +159,46 @@ def pack(
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, task, before, row = tokens.byte_encoder(vocabulary_path), TaskContext.get().partitionId(), {}, 0
         for batch in batches:
-            keys, queues = batch.column(0), batch.column(2).to_pylist()
-            out = {"task": [], "row": [], "queue": queues, "id": keys, "before": [], "n": [], "ids": []}
-            for queue, text in zip(queues, batch.column(1), strict=True):
+            keys, sources = batch.column(0), batch.column(2).to_pylist()
+            out = {"task": [], "row": [], "source": sources, "id": keys, "before": [], "n": [], "ids": []}
+            for name, text in zip(sources, batch.column(1), strict=True):
                 ids = np.append(ids_of(text.as_py()), np.uint32(END_ID))
                 out["task"].append(task)
                 out["row"].append(row)
-                out["before"].append(before.get(queue, 0))
+                out["before"].append(before.get(name, 0))
                 out["n"].append(len(ids))
                 out["ids"].append(ids.astype("<u4").tobytes())
-                before[queue] = before.get(queue, 0) + len(ids)
+                before[name] = before.get(name, 0) + len(ids)
                 row += 1
             yield pa.RecordBatch.from_pydict(out, schema)
 
-    schema = pa.schema([("task", pa.int64()), ("row", pa.int64()), ("queue", pa.string()), ("id", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
-    source = F.col(source_col).cast("string")
-    distinct = df.select(source.alias("s")).groupBy("s").agg(F.lit(1).alias("one")).limit(MAX_QUEUES + 1).count()
-    queue = source if distinct <= MAX_QUEUES else F.concat(F.lit("#"), F.pmod(F.xxhash64(source), F.lit(MAX_QUEUES)).cast("string"))
-    rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), queue.alias("q"))
-    done = storage.written(rows.mapInArrow(tokenise, "task long, row long, queue string, id long, before long, n long, ids binary"), "packing-ids", tag=tag)
-
-    parts = done.groupBy("task", "queue").agg(F.sum("n").alias("tokens"))
-    w = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("ahead", F.coalesce(F.sum("tokens").over(w), F.lit(0)))
-    sums = sorted(done.groupBy("queue").agg(F.sum("n").alias("t")).collect(), key=lambda r: (r.queue is None, r.queue))  # MAX_QUEUES rows at most
-    names = [r.queue for r in sums]
-    goal = None if targets is None else np.array([targets.get(x, 0.0) for x in names], float)
-    phases = schedule(np.array([r.t for r in sums], np.int64), goal)
+    schema = pa.schema([("task", pa.int64()), ("row", pa.int64()), ("source", pa.string()), ("id", pa.int64()), ("before", pa.int64()), ("n", pa.int64()), ("ids", pa.binary())])
+    rows = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.col(source_col).cast("string"))
+    done = storage.written(rows.mapInArrow(tokenise, "task long, row long, source string, id long, before long, n long, ids binary"), "packing-ids", tag=tag)
+
+    parts = storage.written(done.groupBy(F.col("task").alias("t"), F.col("source").alias("s")).agg(F.sum("n").alias("tokens")), "packing-parts", tag=tag)
+    own = _own_queues(parts, targets)
+    number = spark.createDataFrame(list(enumerate(own)), "q long, name string")  # bounded by MAX_QUEUES and the caller's targets
+    shared = F.lit(len(own)) + F.pmod(F.xxhash64("s"), F.lit(SHARED))
+    parts = parts.join(F.broadcast(number), F.col("s").eqNullSafe(F.col("name")), "left").select("t", "s", "tokens", F.coalesce("q", shared).alias("q"))
+    # A queue's order is by task, and by source inside a task.
+    w = Window.partitionBy("q").orderBy("t", "s").rowsBetween(Window.unboundedPreceding, -1)
+    # As a table its size is known when the join is planned: Spark broadcasts it only below its threshold.
+    parts = storage.written(parts.withColumn("ahead", F.coalesce(F.sum("tokens").over(w), F.lit(0))), "packing-starts", tag=tag)
+    sums = sorted(parts.groupBy("q").agg(F.sum("tokens").alias("n")).collect())  # as many rows as there are queues
+    goal = None if targets is None else np.array([targets.get(own[r.q], 0.0) if r.q < len(own) else 0.0 for r in sums], float)
+    phases, place = schedule(np.array([r.n for r in sums], np.int64), goal), {r.q: k for k, r in enumerate(sums)}
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placer, number = Placer(phases), {x: k for k, x in enumerate(names)}
+        placer = Placer(phases)
         for batch in batches:
             out: list[list] = [[] for _ in out_schema]
-            for key, queue, first, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            for key, name, queue, first, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
                 data = ids.as_buffer()
                 n = len(data) // 4
-                for start, length, position in placer.pieces(number[queue], first, n):
+                for start, length, position in placer.pieces(place[queue], first, n):
                     piece = bytes(data[4 * start : 4 * (start + length)])
-                    for to, v in zip(out, (key, start, length, zlib.crc32(piece), n, position // SEQUENCE, position % SEQUENCE, queue, piece), strict=True):
+                    for to, v in zip(out, (key, start, length, zlib.crc32(piece), n, position // SEQUENCE, position % SEQUENCE, name, piece), strict=True):
                         to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, out_schema, strict=True)], schema=out_schema)
 
@@ -187,12 +206,10 @@ def pack(
     out_schema = pa.schema(
         [("doc_id", long), ("start", long), ("length", long), ("ids_crc32", long), ("doc_tokens", long), ("sequence_id", long), ("offset", long), ("source", pa.string()), ("ids", pa.binary())]
     )
-    if not names:
+    if not sums:
         return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
-    # As a table its size is known when the join is planned: Spark broadcasts it only below its threshold.
-    parts = storage.written(parts.select(F.col("task").alias("t"), F.col("queue").alias("q"), "ahead"), "packing-starts", tag=tag)
-    placed = done.join(parts, (F.col("task") == F.col("t")) & F.col("queue").eqNullSafe(F.col("q")))
-    placed = placed.select("id", "queue", (F.col("ahead") + F.col("before")).alias("first"), "ids")
+    placed = done.join(parts, (F.col("task") == F.col("t")) & F.col("source").eqNullSafe(F.col("s")))
+    placed = placed.select("id", "source", "q", (F.col("ahead") + F.col("before")).alias("first"), "ids")
     return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
 
 

@@ -124,6 +124,24 @@ def test_pack(spark, sf, odd, library):
         assert max(abs(by_window[k][s] - size * t / n) for s, t in total.items()) < 2
 
 
+def test_pack_past_the_bound(spark, library):
+    assert packing.MAX_QUEUES < 5000
+    rows = [(k, f"text {k}", f"small {k}") for k in range(5000)] + [(5000 + k, "long " * 8000, "big") for k in range(20)] + [(6000, "a few words", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = packing.pack(docs, tokens.default_path()).collect()
+    check_pieces(docs, got, library)
+    assert {(p.doc_id, p.source) for p in got} == {(k, s) for k, _, s in rows}
+    size, total = packing.WINDOW * packing.SEQUENCE, sum(p.length for p in got)
+    big = sum(p.length for p in got if p.source == "big")
+    in_first = sum(p.length for p in got if p.source == "big" and p.sequence_id < packing.WINDOW)
+    assert total > size and abs(in_first - size * big / total) < 2
+    got = packing.pack(docs, tokens.default_path(), {"big": 1.0, "small 7": 0.01}).collect()
+    check_pieces(docs, got, library)
+    first = [p for p in got if p.sequence_id < packing.WINDOW]
+    assert sum(p.length for p in first if p.source == "big") > 0.98 * size
+    assert {p.doc_id for p in first if p.source == "small 7"} == {7}
+
+
 def test_pack_nothing(none):
     assert packing.pack(none, tokens.default_path()).count() == 0
 
