@@ -160,6 +160,16 @@ def class_center_sample(spark, sf_dir):
     return S.class_centres(classes, table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("k")), "k", 100)
 
 
+@query(
+    "class_center_sample_all",
+    "WITH p AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT c_custkey AS k, c_custkey IN (SELECT k FROM p) AS positive FROM customer), n AS (SELECT greatest(100, (SELECT count(*) FROM c WHERE positive)) AS n), t AS (SELECT *, row_number() OVER (ORDER BY NOT positive, md5('0|' || k), k) AS r FROM c) SELECT k, positive, row_number() OVER (ORDER BY k) - 1 AS new_label FROM t, n WHERE r <= n",
+)
+def class_center_sample_all(spark, sf_dir):
+    """The positives of all orders."""
+    classes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    return S.class_centres(classes, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k", 100)
+
+
 # Other evaluators
 
 ATTR = "rows AS (SELECT l.doc_id AS row_id, a AS attr, CASE WHEN a = 0 THEN quality ELSE toxic END AS y, ((n_chars * (a + 3)) % 100) / 100.0::DOUBLE AS score FROM labels l JOIN documents USING (doc_id), range(2) t(a))"

@@ -146,10 +146,20 @@ def jaccard_dist(spark, sf_dir):
 SELECT qid, gid, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, gid)::INT AS rank FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, gid) <= 5""",
 )
 def rerank_blend(spark, sf_dir):
+    return rerank_blend_all(spark, sf_dir).where("rank <= 5")
+
+
+@query(
+    "rerank_blend_all",
+    f"""WITH {_jaccard_sql(20, 6)}, b AS (SELECT d.qid, d.gid, round(coalesce(jd.dist, 1) * 0.7 + d.dist * 0.3, 7) AS dist FROM d JOIN crops q ON q.crop_id = d.qid AND q.role = 'query' JOIN crops g ON g.crop_id = d.gid AND g.role = 'gallery' LEFT JOIN jd ON jd.qid = d.qid AND jd.gid = d.gid)
+SELECT qid, gid, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, gid)::INT AS rank FROM b""",
+)
+def rerank_blend_all(spark, sf_dir):
+    """The whole query x gallery matrix, ranked."""
     c, q, g = sides(spark, sf_dir)
     b = R.blend(R.distances(q, g, metric="euclidean"), R.jaccard(c, F.col("role") == "query"), 0.3).withColumn("dist", F.round("dist", 7))
     w = Window.partitionBy("qid").orderBy("dist", "gid")
-    return b.withColumn("rank", F.row_number().over(w)).where("rank <= 5")
+    return b.withColumn("rank", F.row_number().over(w))
 
 
 @query("first_per_id_split", f"WITH crops AS ({CROPS_SQL.format(embeddings='embeddings')}) SELECT crop_id, object_id, CASE WHEN row_number() OVER (PARTITION BY object_id ORDER BY md5('0|' || crop_id)) = 1 THEN 'gallery' ELSE 'query' END AS role FROM crops")
@@ -247,6 +257,15 @@ def object_mean_similarity(spark, sf_dir):
 
 @query("cross_unit_candidates", f"WITH {_MEANS}, p AS ({_OBJ} a.video_id < b.video_id) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY s DESC, video_id_a, object_id_a, video_id_b, object_id_b) <= 20")
 def cross_unit_candidates(spark, sf_dir):
+    return _candidates(spark, sf_dir, 20)
+
+
+@query("cross_unit_candidates_200", f"WITH {_MEANS}, p AS ({_OBJ} a.video_id < b.video_id) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY s DESC, video_id_a, object_id_a, video_id_b, object_id_b) <= 200")
+def cross_unit_candidates_200(spark, sf_dir):
+    return _candidates(spark, sf_dir, 200)
+
+
+def _candidates(spark, sf_dir, n):
     p = _object_pairs(spark, sf_dir, "video_id_a < video_id_b")
     w = Window.partitionBy("site_id").orderBy(F.desc("s"), "video_id_a", "object_id_a", "video_id_b", "object_id_b")
-    return p.withColumn("r", F.row_number().over(w)).where("r <= 20").drop("r")
+    return p.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
