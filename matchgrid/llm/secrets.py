@@ -1,7 +1,7 @@
 """Secret scan: pattern spans, and sliding-window Shannon entropy per character class over candidate strings.
 
 Pattern spans (assign, access, hex) are leftmost and non-overlapping per kind. The entropy kind looks at every maximal
-run of key-like characters outside them. For each class that the run's characters fall into, a window slides over the
+run of key-like characters, or what pattern spans leave of it: parts of at least a window. For each class that the run's characters fall into, a window slides over the
 run; the window's symbol counts change by one in and one out, and the sum of c*log2(c) with them, so that each step is
 O(1). Windows at or above the class's threshold are joined to spans. The allow-list then suppresses spans that are
 known to be harmless: words without digits, plain numbers, placeholders, and versions of UUID shape.
@@ -91,12 +91,24 @@ def scan_text(text: str | None) -> list[tuple[int, int, int]]:
     out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    base = sorted(out)
+    base, at = sorted(out), 0
+    covered: list[list[int]] = []
+    for a, _, b in base:
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
     for m in RUN.finditer(text):
         start, end = m.span()
-        if any(a < end and start < b for a, _, b in base):
-            continue
-        out += [(start + a, 3, start + b) for a, b in high_windows(m[0]) if not allowed(m[0][a:b])]
+        while at < len(covered) and covered[at][1] <= start:
+            at += 1
+        k = at
+        while start < end:  # the parts of the run between base spans
+            a, b = covered[k] if k < len(covered) else (end, end)
+            part = text[start : min(a, end)]
+            if len(part) >= WINDOW:
+                out += [(start + x, 3, start + y) for x, y in high_windows(part) if not allowed(part[x:y])]
+            start, k = max(min(a, end), b), k + 1
     return sorted(out)
 
 

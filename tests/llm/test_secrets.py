@@ -62,6 +62,16 @@ def test_entropy_and_allow_list():
     assert secrets.redact_text(f"a {key} b password=hunter22 c") == "a [SECRET] b [SECRET] c"
 
 
+def test_rest_of_a_run_is_scanned():
+    digest, key = "3b5d2c9a" * 5, "q7Zp2LxW9vTb4RnK8sYcJ3dFh6GmXe5QaUw1NiOo"
+    for sep in "/_-=":
+        assert secrets.scan_text(f"x {digest}{sep}{key} y") == [(2, 2, 42), (42, 3, 83)]
+        assert secrets.scan_text(f"{key}{sep}{digest}{sep}{key}") == [(0, 3, 41), (41, 2, 81), (81, 3, 122)]
+    assert secrets.redact_text(f"{digest}/{key} y {key}") == "[SECRET][SECRET] y [SECRET]"
+    assert secrets.scan_text(f"password={key[:9]} {digest} {digest}/{key}") == [(0, 0, 18), (19, 2, 59), (60, 2, 100), (100, 3, 141)]
+    assert secrets.scan_text(f"{digest}/{key[:18]}") == [(0, 2, 40)]  # a rest of less than a window
+
+
 def test_documents(spark, sf, odd, none):
     rows = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = secrets.op2_secret_scan(spark, sf).collect()
