@@ -12,7 +12,9 @@ Texts are cut into words once, into blocks of about BLOCK_TOKENS tokens. Blocks
   blocks -> buckets of bigrams: distinct bigrams with their counts in training texts
   buckets -> blocks:            the bigrams' counts, and for each history the sums that its backoff weight needs
 
-Buckets also write the model's tables, partitioned by kind. A history with more than its share of all tokens is dealt
+Buckets also write the model's tables, partitioned by kind. They hold raw counts; scoring does not read them, and
+discounts and backoff weights are computed anew from the counts and sums in the messages. The order is two, so the
+backoff is one step. A history with more than its share of all tokens is dealt
 over many buckets by the next word, and its sums are added up afterwards; there are at most 8 * buckets such histories.
 Every task holds one block or one bucket, whatever the size of the corpus or the frequency of a word.
 
