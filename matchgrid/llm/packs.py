@@ -22,7 +22,7 @@ def pack(*arrays: np.ndarray | bytes) -> bytes:
     head, body = [struct.pack("<I", len(arrays))], []
     for a in arrays:
         a = np.frombuffer(a, np.uint8) if isinstance(a, bytes) else narrow(a)
-        if a.dtype.itemsize > 1 and a.dtype.kind == "u":  # bytes of equal weight side by side compress better
+        if a.dtype.itemsize > 1 and a.dtype.kind in "uf":  # bytes of equal weight side by side compress better
             raw = np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.dtype.itemsize).T.tobytes()
         else:
             raw = np.ascontiguousarray(a).tobytes()
@@ -39,7 +39,7 @@ def unpack(data: bytes) -> list[np.ndarray]:
     for kind, count in kinds:
         t = np.dtype(kind.decode())
         size = t.itemsize * count
-        if t.itemsize > 1 and t.kind == "u":
+        if t.itemsize > 1 and t.kind in "uf":
             a = np.frombuffer(raw, np.uint8, size, at).reshape(t.itemsize, count).T.copy().view(t).reshape(count)
         else:
             a = np.frombuffer(raw, t, count, at)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Folders written by this driver, by tag, until clean() removes them.
 _written: dict[str, list[str]] = {}
+#: Tables in the session's catalog, over such folders.
+_tables: dict[str, list[str]] = {}
 #: Our own folder, by application, where the cluster names none.
 _own: dict[str, str] = {}
 
@@ -52,6 +54,17 @@ def written(df: DataFrame, name: str, *partition_by: str, tag: str = "") -> Data
     return table
 
 
+def bucketed(df: DataFrame, name: str, by: str, *partition_by: str, tag: str = "") -> DataFrame:
+    """The same rows, written as a table bucketed by a column, whose groups later operators find without a shuffle."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name, tag), f"matchgrid_{uuid.uuid4().hex}"
+    _tables.setdefault(tag, []).append(table)
+    writer = df.write.format("parquet").option("compression", "zstd").option("path", path)
+    writer = writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by)
+    (writer.partitionBy(*partition_by) if partition_by else writer).saveAsTable(table)
+    return spark.table(table)
+
+
 def release(spark: SparkSession, table: DataFrame | None = None, part: str = "") -> None:
     """Delete a part of a written table that is no longer needed, and let Spark's cleaner find the shuffle files of
     finished stages, whose results are written: it acts on what the driver's garbage collector has freed."""
@@ -66,6 +79,8 @@ def release(spark: SparkSession, table: DataFrame | None = None, part: str = "")
 def clean(spark: SparkSession, tag: str = "") -> None:
     """Delete what was written under the tag. Only call it when no result that reads those tables is still needed."""
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
+    for table in _tables.pop(tag, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     for path in _written.pop(tag, []):
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
