@@ -4,7 +4,8 @@ Pattern spans (assign, access, hex) are leftmost and non-overlapping per kind. T
 run of key-like characters, or what pattern spans leave of it: parts of at least a window. For each class that the run's characters fall into, a window slides over the
 run; the window's symbol counts change by one in and one out, and the sum of c*log2(c) with them, so that each step is
 O(1). Windows at or above the class's threshold are joined to spans. The allow-list then suppresses spans that are
-known to be harmless: words without digits, plain numbers, placeholders, and versions of UUID shape.
+known to be harmless as a whole: words without digits, plain numbers, what begins as a placeholder or holds filling, and
+versions of UUID shape.
 
 Spans are in code points, end exclusive. Defined results: null text counts as empty (no spans); whole texts are
 scanned whatever their length; repeated rows and null ids are kept; an empty table gives an empty result; other
@@ -46,7 +47,8 @@ ALLOW = tuple(
         r"[A-Za-z/_+=-]+",  # words and paths: no digit
         r"[0-9+/_=-]+",  # numbers: no letter
         r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUID
-        r"(?i).*(example|placeholder|changeme|dummy|sample|xxxx|0000|1234567|abcdef).*",
+        r"(?i)(example|placeholder|changeme|dummy|sample).*",
+        r"(?i).*(x{8}|0{8}|1234567890|abcdefghij).*",  # filling
     )
 )
 
@@ -155,12 +157,17 @@ def redact(df: DataFrame, text_col: str = "text", chars_col: str | None = "n_cha
     def clean(texts: pd.Series) -> pd.Series:
         return texts.map(redact_text, na_action="ignore")
 
-    names = df.columns
-    out = df.withColumn("_redacted", clean(F.col(text_col)))
-    if chars_col in names:
-        changed = ~F.col(text_col).eqNullSafe(F.col("_redacted"))
-        out = out.withColumn(chars_col, F.when(changed, F.length("_redacted")).otherwise(F.col(chars_col)).cast(df.schema[chars_col].dataType))
-    return out.withColumn(text_col, F.col("_redacted")).select(*names)
+    both = df.select(F.struct(*df.columns).alias("row"), clean(F.col(text_col)).alias("text"))  # apart from df's own names
+    changed = ~F.col("row")[text_col].eqNullSafe(F.col("text"))
+
+    def column(name: str):
+        if name == text_col:
+            return F.col("text").alias(name)
+        if name == chars_col:
+            return F.when(changed, F.length("text")).otherwise(F.col("row")[name]).cast(df.schema[name].dataType).alias(name)
+        return F.col("row")[name].alias(name)
+
+    return both.select(*map(column, df.columns))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

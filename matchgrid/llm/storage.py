@@ -6,7 +6,6 @@ costs only its running tasks. Nothing is kept in a machine-local folder or as a
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -22,12 +21,15 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine) a folder of our own."""
+    """The folder named by spark.checkpoint.dir. Where it is unset, a folder of our own in local mode, where all tasks run on
+    this machine; on a cluster that is an error."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = _own.get(sc.applicationId)
     if not found:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="matchgrid-")
         sc.setCheckpointDir(found)
         _own[sc.applicationId] = found
@@ -49,9 +51,7 @@ def written(df: DataFrame, name: str, *partition_by: str, tag: str = "") -> Data
     path = new_path(spark, name, tag)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.written_at = path
-    return table
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def bucketed(df: DataFrame, name: str, by: str, *partition_by: str, tag: str = "") -> DataFrame:
@@ -65,19 +65,13 @@ def bucketed(df: DataFrame, name: str, by: str, *partition_by: str, tag: str = "
     return spark.table(table)
 
 
-def release(spark: SparkSession, table: DataFrame | None = None, part: str = "") -> None:
-    """Delete a part of a written table that is no longer needed, and let Spark's cleaner find the shuffle files of
-    finished stages, whose results are written: it acts on what the driver's garbage collector has freed."""
-    jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
-    if table is not None:
-        where = jvm.org.apache.hadoop.fs.Path(f"{table.written_at}/{part}")
-        where.getFileSystem(jsc.hadoopConfiguration()).delete(where, True)
-    gc.collect()
-    jvm.System.gc()
+def new_tag() -> str:
+    return uuid.uuid4().hex
 
 
 def clean(spark: SparkSession, tag: str = "") -> None:
-    """Delete what was written under the tag. Only call it when no result that reads those tables is still needed."""
+    """Delete what was written under the tag, by default what queries outside a pipeline wrote. For the caller, when no
+    result that reads those tables is still needed: results are lazy, so no operator calls it for itself."""
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     for table in _tables.pop(tag, []):
         spark.sql(f"DROP TABLE IF EXISTS {table}")

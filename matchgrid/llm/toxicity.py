@@ -2,22 +2,26 @@
 
 Folding is per character: letters in lower case, homoglyphs (Cyrillic, Greek, full-width, accented look-alikes of the
 lexicon's alphabet are left alone unless they are confusable) to their Latin letter, digits and signs that stand for
-letters to those letters, everything else that is no letter to a space. Lexicon entries start at a word's start, and
-may be whole words or stems. A phrase on the exception list cancels the hits inside it.
+letters to those letters, everything else that is no letter to a space. Signs at a word's end are punctuation. Lexicon
+entries start at a word's start; those of fewer than SHORTEST letters are whole words, others may be stems. A phrase on
+the exception list cancels the hits inside it.
 
 The lexicon, its weights (smoothed log-odds of documents), the exceptions and the two coefficients that turn the
 length-normalised sum into a probability are learned from labelled documents. The fit uses at most SAMPLE of them,
-those with the smallest hash of doc_id; a label without a document, and a null label, is not used.
+those with the smallest hash of doc_id; a label without a document, and a null label, is not used, and of documents that
+share an id the least text is. An entry needs SHARE of the toxic ones, so the lexicon is bounded by the length of their texts.
 
 Defined results: null text counts as empty; empty texts have a score, that of a text without hits; repeated rows are
-scored each; with no labelled row, or only one label, the lexicon is empty and the score is the smoothed share of
+scored each; a row with a null doc_id is held out; with no labelled row, or only one label, the lexicon is empty and the score is the smoothed share of
 label 1; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
+import bisect
+import itertools
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,12 +33,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Most labelled documents that the fit reads, most candidates that it counts, most entries and exceptions it keeps.
+#: Most labelled documents that the fit reads.
 SAMPLE = 20_000
-CANDIDATES = 20_000
-ENTRIES = 2_000
-EXCEPTIONS = 500
-#: Least length of an entry, longest stem, least share of toxic documents and least log-odds of an entry.
+#: Least length of a stem, longest stem, least share of toxic documents and least log-odds of an entry.
 SHORTEST, LONGEST_STEM, SHARE, ODDS = 4, 8, 0.01, 3.0
 
 #: Characters that look like Latin letters, and digits and signs used for letters.
@@ -59,12 +60,12 @@ class _Folding(dict):
 
 
 _FOLDING = _Folding()
-#: A sign that ends a word is punctuation rather than a letter, so the folded text is also matched without such ends.
-_ENDS = str.maketrans(dict.fromkeys("!$|@", " "))
+#: Signs that end a word are punctuation rather than letters.
+_ENDS = re.compile(r"[!$|@]+(?![\w!$|@])")
 
 
 def fold(text: str | None) -> str:
-    return f" {(text or '').translate(_FOLDING)} "
+    return f" {_ENDS.sub(' ', text or '').translate(_FOLDING)} "
 
 
 def words_of(text: str | None) -> list[str]:
@@ -72,7 +73,8 @@ def words_of(text: str | None) -> list[str]:
 
 
 def stems(word: str) -> Iterator[str]:
-    yield word[:24]
+    """Entries that the word may come under: itself, marked as whole if it is short, and its beginnings."""
+    yield word if len(word) >= SHORTEST else word + " "
     yield from (word[:n] for n in range(SHORTEST, min(LONGEST_STEM, len(word) - 1) + 1))
 
 
@@ -108,8 +110,10 @@ class Model:
                     cleared.append((start, end))
                 elif hits.get(start, (0, 0.0))[0] < n:
                     hits[start] = n, weight
-        if cleared:
-            hits = {s: x for s, x in hits.items() if not any(a <= s < b for a, b in cleared)}
+        if cleared:  # in the order of their ends
+            ends = [b for _, b in cleared]
+            least = list(itertools.accumulate((a for a, _ in reversed(cleared)), min))[::-1]  # the first start from here on
+            hits = {s: x for s, x in hits.items() if (k := bisect.bisect_right(ends, s)) == len(ends) or least[k] > s}
         total = sum(w for _, w in hits.values())
         return math.log1p(max(total, 0.0)) - 0.25 * math.log1p(folded.count(" ")) if total > 0 else NO_HIT
 
@@ -122,15 +126,16 @@ NO_HIT = -4.0
 
 
 def in_training(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string").cast("binary")) % 5 != 0
+    return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 != 0, F.lit(False))
 
 
 def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None) -> Model:
     """documents: doc_id, text. labels: doc_id, toxic. train: a condition on labels, default the rows of the contract."""
     train = in_training(F.col("doc_id")) if train is None else train
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int").alias("_toxic")).where(train & F.col("_toxic").isNotNull() & F.col("doc_id").isNotNull())
-    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "_toxic").limit(SAMPLE)
-    texts = documents.select("doc_id", F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
+    sample = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "_toxic").limit(SAMPLE)
+    texts = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id", "_toxic").agg(F.min("text").alias("text"))  # SAMPLE rows at most
     n = {r._toxic: r.n for r in texts.groupBy("_toxic").agg(F.count("*").alias("n")).collect()}
     n1, n0 = n.get(1, 0), n.get(0, 0)
     if not n1 or not n0:
@@ -143,7 +148,7 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None)
             for text in batch.column(0).to_pylist():
                 ws, first = words_of(text), {}
                 for k, w in enumerate(ws):
-                    if len(w) >= SHORTEST and w not in first:
+                    if len(w) > 1 and w not in first:
                         first[w] = zlib.crc32(" ".join(ws[max(0, k - 1) : k] + ws[k + 1 : k + 2]).encode())
                 found.update({s: c for w, c in reversed(first.items()) for s in stems(w)}.items())
                 if len(found) > 500_000:
@@ -155,25 +160,23 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None)
     least = max(6, math.ceil(SHARE * n1))
     toxic = texts.where("_toxic = 1").select("text").mapInArrow(count_stems, "stem string, context long, n long")
     toxic = toxic.groupBy("stem", "context").agg(F.sum("n").alias("n")).groupBy("stem").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
-    toxic = toxic.where(F.col("contexts") >= least).orderBy(F.desc("n"), "stem").limit(CANDIDATES)
-    positive = {r.stem: r.n for r in toxic.collect()}
+    positive = {r.stem: r.n for r in toxic.where(F.col("contexts") >= least).select("stem", "n").collect()}  # bounded by SAMPLE and SHARE
 
     def count_known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter[str] = Counter()
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                found.update({s for w in set(words_of(text)) if len(w) >= SHORTEST for s in stems(w) if s in positive})
+                found.update({s for w in set(words_of(text)) if len(w) > 1 for s in stems(w) if s in positive})
         yield _columns(stem=(pa.string(), list(found)), n=(pa.int64(), list(found.values())))
 
     clean = texts.where("_toxic = 0").select("text").mapInArrow(count_known, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
-    negative = {r.stem: r.n for r in clean.collect()}  # CANDIDATES rows at most
+    negative = {r.stem: r.n for r in clean.collect()}  # as many rows as candidates at most
     odds = {s: math.log((a + 0.5) / (n1 + 1)) - math.log((negative.get(s, 0) + 0.5) / (n0 + 1)) for s, a in positive.items()}
     entries: dict[str, float] = {}
     for s in sorted(odds, key=lambda s: (len(s), s)):  # a longer entry only where it says more than the stem it starts with
         known = max((entries[s[:k]] for k in range(SHORTEST, len(s)) if s[:k] in entries), default=-math.inf)
         if odds[s] >= ODDS and odds[s] > known + 0.5:
             entries[s] = odds[s]
-    entries = dict(heapq.nlargest(ENTRIES, entries.items(), key=lambda x: (x[1] * positive[x[0]], x[0])))
     model = Model(entries)
 
     def count_phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,8 +191,8 @@ def learn(documents: DataFrame, labels: DataFrame, train: Column | None = None)
 
     phrases = texts.select("text", "_toxic").mapInArrow(count_phrases, "phrase string, toxic long, n long").groupBy("phrase")
     phrases = phrases.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("b"))
-    harmless = phrases.where((F.col("b") >= 3) & ((F.col("a") + 0.5) / (n1 + 1) < 0.25 * (F.col("b") + 0.5) / (n0 + 1))).orderBy(F.desc("b"), "phrase").limit(EXCEPTIONS)
-    model.exceptions = tuple(r.phrase for r in harmless.collect())
+    harmless = phrases.where((F.col("b") >= 3) & ((F.col("a") + 0.5) / (n1 + 1) < 0.25 * (F.col("b") + 0.5) / (n0 + 1)))
+    model.exceptions = tuple(sorted(r.phrase for r in harmless.collect()))  # each holds an entry of the bounded lexicon
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = model.matcher()
@@ -221,15 +224,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return float(w[0]), float(w[1])
 
 
-def scores(df: DataFrame, model: Model, text_col: str = "text", to: str = "score") -> DataFrame:
-    """df with the score of each row's whole text."""
+def score_of(model: Model, text: Column) -> Column:
+    """The score of a whole text."""
 
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         a = model.matcher()
-        return pd.Series([model.score(model.feature(a, t if isinstance(t, str) else "")) for t in texts], dtype=float)
+        for texts in batches:
+            yield pd.Series([model.score(model.feature(a, t if isinstance(t, str) else "")) for t in texts], dtype=float)
+
+    return score(text.cast("string"))
 
-    return df.withColumn(to, score(F.col(text_col).cast("string")))
+
+def scores(df: DataFrame, model: Model, text_col: str = "text", to: str = "score") -> DataFrame:
+    """df with the score of each row's whole text, which takes the place of a column of the name `to`."""
+    return df.withColumn(to, score_of(model, F.col(text_col)))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

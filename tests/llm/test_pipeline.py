@@ -2,6 +2,7 @@ import re
 import zlib
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from test_ngram_join import brute
 from tokenizers import Tokenizer
 
@@ -39,10 +40,14 @@ def test_each_stage_against_brute_force(spark, sf):
     import numpy as np
 
     assert all(p.ids_crc32 == zlib.crc32(np.array(tokens[p.doc_id][p.start : p.start + p.length], "<u4").tobytes()) for p in got)
-    assert corpus_pipeline.run(spark, sf).count() == len(got)
+    first = corpus_pipeline.run(spark, sf)
+    second = corpus_pipeline.run(spark, sf)
+    assert first.count() == second.count() == len(got)  # runs do not take each other's tables
 
 
 def test_odd_rows(spark, sf, odd, none):
+    clash = odd.withColumn("_toxicity", F.lit("mine")).withColumn("_redacted", F.lit("own")).withColumn("_gone", F.lit(1))
+    assert {(r._toxicity, r._redacted, r._gone) for r in steps(spark, clash, sf)[4].collect()} == {("mine", "own", 1)}
     for docs, n in ((odd, [12, 9, 8, 8]), (none, [0, 0, 0, 0])):
         out = steps(spark, docs, sf)
         assert [d.count() for d in out[1:5]] == n

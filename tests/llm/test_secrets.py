@@ -1,3 +1,4 @@
+import hashlib
 import math
 import re
 from collections import Counter
@@ -5,6 +6,8 @@ from collections import Counter
 from hypothesis import given
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from matchgrid.llm import secrets
 
 BASE = {
@@ -62,6 +65,30 @@ def test_entropy_and_allow_list():
     assert secrets.redact_text(f"a {key} b password=hunter22 c") == "a [SECRET] b [SECRET] c"
 
 
+def spans(text):
+    """All spans, from sets of places: base spans, then windows of what they leave of each run, but for harmless ones."""
+    out = base(text)
+    taken = {k for a, _, b in out for k in range(a, b)}
+    chars = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-")
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        if len(m[0]) < 20:
+            continue
+        free = "".join(c if k not in taken else "\n" for k, c in enumerate(m[0], m.start()))
+        for part in re.finditer(r"[^\n]+", free):
+            for a, b in windows(part[0]):
+                found, low = part[0][a:b], part[0][a:b].lower()
+                letters, digits = set(found) & chars - set("0123456789+/_=-"), set(found) & set("0123456789")
+                filling = any(x in low for x in ("x" * 8, "0" * 8, "1234567890", "abcdefghij"))
+                uuid = [len(x) for x in found.split("-")] == [8, 4, 4, 4, 12] and set(low) <= set("0123456789abcdef-")
+                if letters and digits and not filling and not uuid and not low.startswith(("example", "placeholder", "changeme", "dummy", "sample")):
+                    out.append((m.start() + part.start() + a, 3, m.start() + part.start() + b))
+    return sorted(out)
+
+
+def test_a_key_that_holds_a_few_zeros_is_found():
+    assert secrets.scan_text("k q7Zp2LxW90000vTb4RnK8sYc") == [(2, 3, 26)]
+
+
 def test_rest_of_a_run_is_scanned():
     digest, key = "3b5d2c9a" * 5, "q7Zp2LxW9vTb4RnK8sYcJ3dFh6GmXe5QaUw1NiOo"
     for sep in "/_-=":
@@ -77,10 +104,13 @@ def test_documents(spark, sf, odd, none):
     got = secrets.op2_secret_scan(spark, sf).collect()
     assert len(got) == len(rows)
     for r in got:
-        spans = [x.split(":") for x in r.spans.split(",") if x]
-        assert sorted((int(a), secrets.KINDS.index(k), int(b)) for k, a, b in spans if k != "entropy") == base(rows[r.doc_id])
+        want = spans(rows[r.doc_id] or "")
+        assert r.spans == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want) and r.n_entropy == sum(k == 3 for _, k, _ in want)
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want if k < 3).encode()).hexdigest()
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(x[1] == k for x in base(rows[r.doc_id])) for k in range(3))
     assert secrets.scan(none).count() == 0
+    clash = odd.withColumn("_redacted", F.lit("mine")).withColumn("row", F.lit("r"))
+    assert {(r._redacted, r.row) for r in secrets.redact(clash).collect()} == {("mine", "r")}
     out = secrets.redact(odd)
     assert out.columns == odd.columns and out.schema == odd.schema and out.count() == odd.count()
     assert sorted(str(r) for r in out.collect()) == sorted(str(r) for r in odd.collect())  # no secrets in these

@@ -7,7 +7,8 @@ from matchgrid.llm.toxicity import Model
 
 
 def test_folding():
-    assert toxicity.words_of("ІD1OT! Ｃl0wn $tupid") == ["idioti", "clown", "stupid"]
+    assert toxicity.words_of("ІD1OT! Ｃl0wn $tupid") == ["idiot", "clown", "stupid"]
+    assert toxicity.words_of("an idiot savant! b@d! a|| x!y cash$") == ["an", "idiot", "savant", "bad", "a", "xiy", "cash"]
     assert toxicity.words_of(None) == []
 
 
@@ -17,7 +18,7 @@ def brute(model, text):
     covered = {k + j for p in model.exceptions for k in range(len(ws)) if ws[k : k + len(p.split())] == p.split() for j in range(len(p.split()))}
     total = 0.0
     for k, w in enumerate(ws):
-        found = [e for e in model.entries if w.startswith(e)]
+        found = [e for e in model.entries if (w + " ").startswith(e)]
         if found and k not in covered:
             total += model.entries[max(found, key=len)]
     return total
@@ -25,10 +26,10 @@ def brute(model, text):
 
 def test_matching_equals_brute_force():
     rng = random.Random(3)
-    model = Model({"idio": 2.0, "idiot": 3.0, "clown": 1.5, "clo": 0.25}, ("clown fish", "an idiot"), 0.0, 1.0)
+    model = Model({"idio": 2.0, "idiot": 3.0, "clown": 1.5, "clo": 0.25, "fi ": 0.5}, ("clown fish", "an idiot", "idiot savant"), 0.0, 1.0)
     a = model.matcher()
     for _ in range(300):
-        text = " ".join(rng.choice(["idiot", "idiom", "clown", "fish", "an", "clock", "1DIOT", "x", "(an", "fish."]) for _ in range(rng.randrange(9)))
+        text = " ".join(rng.choice(["idiot", "idiom", "clown", "fish", "an", "clock", "1DIOT", "x", "(an", "fish.", "fi", "savant!"]) for _ in range(rng.randrange(9)))
         total = brute(model, text)
         x = model.feature(a, text)
         assert (x == toxicity.NO_HIT) == (total == 0)
