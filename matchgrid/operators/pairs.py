@@ -21,38 +21,100 @@ BLOCK = 1024
 DECIMALS = 9
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def vectors(table: pa.Table, column: str = "v", *known: str) -> np.ndarray:
+    """The vectors of a table of one task as a matrix. A null vector or component, one that is not finite, vectors of
+    different lengths, and nulls in the columns `known` are errors: a wrong row must not shift or join others."""
+    for c in known:
+        if table.column(c).null_count:
+            raise ValueError(f"{table.column(c).null_count} rows have no {c}")
+    flat = table.column(column).combine_chunks()
+    if isinstance(flat, pa.ChunkedArray):
+        flat = pa.concat_arrays(flat.chunks) if flat.num_chunks else pa.array([], flat.type)
     n = len(flat)
-    x = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float)
-    x = x.reshape(n, -1) if n else x.reshape(0, 1)
+    if flat.null_count:
+        raise ValueError(f"{flat.null_count} rows have no vector")
+    lengths = np.diff(flat.offsets.to_numpy())
+    if n and (lengths != lengths[0]).any():
+        raise ValueError(f"vectors have {lengths.min()} to {lengths.max()} components")
+    values = flat.flatten()
+    x = np.asarray(values.to_numpy(zero_copy_only=False), float).reshape(n, -1 if len(values) else 0)
+    if values.null_count or not np.isfinite(x).all():
+        raise ValueError("a vector has a component that is null or not finite")
+    return x
+
+
+def normalised(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def similarities(crops: DataFrame, unit: str = "video_id", key: str = "crop_id", vector: str = "embedding") -> DataFrame:
-    """unit, a, b, s: every pair a < b of a unit with its cosine, rounded and clamped to [-1, 1]."""
-    rows = crops.select(F.col(unit).cast("long").alias("unit"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+def _tiles(crops: DataFrame, unit: str, key: str, vector: str, carry: Sequence[str]) -> DataFrame:
+    """unit, i, j and the rows of blocks i and j."""
+    rows = crops.select(F.col(unit).cast("long").alias("unit"), F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), *(F.col(c).alias(f"c_{c}") for c in carry))
     blocks = rows.groupBy("unit").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(blocks, "unit").withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    rows = rows.withColumnRenamed("unit", "u").join(blocks, F.col("u").eqNullSafe(F.col("unit"))).drop("u")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = rows.select("unit", "id", "v", "block", other).select(
-        "unit", "id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
-    )
+    rest = [c for c in rows.columns if c not in ("block", "blocks")]
+    return rows.select(*rest, "block", other).select(*rest, "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
+def _pairs_of_tile(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows a and b of each pair, the lesser key first, and their cosine."""
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    v = normalised(vectors(table, "v", "unit", "id"))
+    block, ids = table.column("block").to_numpy(), table.column("id").to_numpy()
+    left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    s = v[left] @ v[right].T
+    keep = ids[left][:, None] < ids[right][None, :] if i == j else np.ones(s.shape, bool)
+    x, y = np.nonzero(keep)
+    s = np.clip(np.round(s[x, y] * 10.0**DECIMALS) / 10.0**DECIMALS, -1.0, 1.0)
+    a, b = left[x], right[y]
+    swap = ids[a] > ids[b]
+    return np.where(swap, b, a), np.where(swap, a, b), s
+
+
+def similarities(crops: DataFrame, unit: str = "video_id", key: str = "crop_id", vector: str = "embedding", carry: Sequence[str] = ()) -> DataFrame:
+    """unit, a, b, s: every pair a < b of a unit with its cosine, rounded and clamped to [-1, 1].
+
+    carry: columns that both rows bring along, as <name>_a and <name>_b, so that pairs need no join. Null units, keys and
+    vectors, ragged and non-finite vectors are errors; a unit of one row has no pairs; rows that share a key are no pair.
+    """
 
     def run(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        block, ids = table.column("block").to_numpy(), table.column("id").to_numpy()
-        v = _vectors(table.column("v"))
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        s = v[left] @ v[right].T
-        keep = ids[left][:, None] < ids[right][None, :] if i == j else np.ones(s.shape, bool)
-        a, b = np.nonzero(keep)
-        x, y = ids[left[a]], ids[right[b]]
-        s = np.clip(np.round(s[a, b] * 10.0**DECIMALS) / 10.0**DECIMALS, -1.0, 1.0)
-        unit_value = table.column("unit")[0].as_py()
-        return pa.table({"unit": pa.array(np.full(len(s), unit_value)), "a": pa.array(np.minimum(x, y)), "b": pa.array(np.maximum(x, y)), "s": pa.array(s)})
+        a, b, s = _pairs_of_tile(table)
+        ids = table.column("id").to_numpy()
+        out = {"unit": pa.array(np.full(len(s), table.column("unit")[0].as_py())), "a": pa.array(ids[a]), "b": pa.array(ids[b]), "s": pa.array(s)}
+        for c in carry:
+            for name, at in ((f"{c}_a", a), (f"{c}_b", b)):
+                out[name] = table.column(f"c_{c}").combine_chunks().take(pa.array(at))
+        return pa.table(out)
+
+    types = {f.name: f.dataType.simpleString() for f in crops.schema}
+    carried = "".join(f", {c}_{side} {types[c]}" for c in carry for side in "ab")
+    return _tiles(crops, unit, key, vector, carry).groupBy("unit", "i", "j").applyInArrow(run, f"unit long, a long, b long, s double{carried}")
+
 
-    return tiles.groupBy("unit", "i", "j").applyInArrow(run, "unit long, a long, b long, s double")
+def counts(crops: DataFrame, bins: int, unit: str = "video_id", key: str = "crop_id", vector: str = "embedding", labels: Sequence[str] = ("object_id",)) -> DataFrame:
+    """unit, same, bin, n: the histogram of a unit's pairs, made where the similarities are: no row for a pair.
+
+    same: equal in all label columns, in which null is an error.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, s = _pairs_of_tile(table)
+        same = np.ones(len(s), bool)
+        for c in labels:
+            if table.column(f"c_{c}").null_count:
+                raise ValueError(f"{table.column(f'c_{c}').null_count} rows have no {c}")
+            label = table.column(f"c_{c}").to_numpy()
+            same &= label[a] == label[b]
+        place = np.clip(np.floor((s + 1) * (bins // 2)).astype(np.int64), 0, bins - 1) + bins * same
+        n = np.bincount(place, minlength=2 * bins)
+        at = np.flatnonzero(n)
+        return pa.table({"unit": pa.array(np.full(len(at), table.column("unit")[0].as_py())), "same": pa.array(at >= bins), "bin": pa.array((at % bins).astype(np.int32)), "n": pa.array(n[at])})
+
+    tiles = _tiles(crops, unit, key, vector, labels).groupBy("unit", "i", "j").applyInArrow(run, "unit long, same boolean, bin int, n long")
+    return tiles.groupBy("unit", "same", "bin").agg(F.sum("n").alias("n"))
 
 
 def object_sizes(crops: DataFrame, unit: str = "video_id") -> DataFrame:
@@ -102,12 +164,15 @@ def cell(pos: Column, az: Column, occ: Column, kp: Column) -> Column:
 WEIGHT_SCALE = 10**12
 
 
-def with_weights(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Object-balanced weights: each object's positives, and each pair of objects' negatives, sum to one."""
-    a = sizes.select("unit", F.col("object_id").alias("object_id_a"), F.col("size").alias("size_a"))
-    b = sizes.select("unit", F.col("object_id").alias("object_id_b"), F.col("size").alias("size_b"))
+def with_weights(pairs: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
+    """Object-balanced weights: each object's positives, and each pair of objects' negatives, sum to one. sizes: of objects;
+    not needed where pairs carry them as size_a and size_b."""
+    if "size_a" not in pairs.columns:
+        a = sizes.select("unit", F.col("object_id").alias("object_id_a"), F.col("size").alias("size_a"))
+        b = sizes.select("unit", F.col("object_id").alias("object_id_b"), F.col("size").alias("size_b"))
+        pairs = pairs.join(a, ["unit", "object_id_a"]).join(b, ["unit", "object_id_b"])
     n = F.when(F.col("same"), F.col("size_a") * (F.col("size_a") - 1) / 2).otherwise(F.col("size_a") * F.col("size_b"))
-    return pairs.join(a, ["unit", "object_id_a"]).join(b, ["unit", "object_id_b"]).withColumn("w", F.round(F.lit(float(WEIGHT_SCALE)) / n).cast("long"))
+    return pairs.withColumn("w", F.round(F.lit(float(WEIGHT_SCALE)) / n).cast("long"))
 
 
 def histogram(pairs: DataFrame, bins: int, *by: str) -> DataFrame:

@@ -18,25 +18,33 @@ def multinomial(spark: SparkSession, units: list[int], resamples: int, seed: int
 
 
 def hashed(units: DataFrame, resamples: int, seed: int = 0) -> DataFrame:
-    """The same from a hash: draw j of resample b takes the unit at position hash(b, j) modulo the number of units."""
+    """The same from a hash: draw j of resample b takes the unit at position hash(b, j) modulo the number of units. Without
+    units there are no draws."""
     from pyspark.sql import Window
 
+    units = units.select("unit").distinct()
     v = units.count()
-    at = units.select("unit").distinct().withColumn("at", (F.row_number().over(Window.orderBy("unit")) - 1).cast("long"))
+    if not v:
+        return units.sparkSession.createDataFrame([], "b long, unit long, n long")
+    at = units.withColumn("at", (F.row_number().over(Window.orderBy("unit")) - 1).cast("long"))
     draws = units.sparkSession.range(resamples).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0), F.lit(v - 1))).alias("j"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "b", "j")), 1, 8), 16, 10).cast("long") % v
     return draws.withColumn("at", pick).join(at, "at").groupBy("b", "unit").agg(F.count("*").alias("n"))
 
 
-def interval(values: DataFrame, column: str, level: float = 0.95, *by: str) -> DataFrame:
-    """Percentile interval of a resampled statistic, linear between values; null values are left out."""
+def interval(values: DataFrame, column: str, level: float = 0.95, *by: str, units: DataFrame | None = None) -> DataFrame:
+    """Percentile interval of a resampled statistic, linear between values; null values are left out. units: those that were
+    drawn from; fewer than MIN_UNITS give no interval."""
     lo = (1 - level) / 2
+    if units is not None:
+        enough = units.select("unit").distinct().agg((F.count("*") >= MIN_UNITS).alias("enough"))
+        values = values.crossJoin(F.broadcast(enough)).withColumn(column, F.when(F.col("enough"), F.col(column)))
     return values.groupBy(*by).agg(F.percentile(column, lo).alias("lo"), F.percentile(column, 1 - lo).alias("hi"))
 
 
 def pooled(counts: DataFrame, boot: DataFrame, numerator: str, denominator: str) -> DataFrame:
     """b, value: a pooled ratio of each resample."""
-    x = counts.join(F.broadcast(boot), "unit").groupBy("b").agg(F.sum(F.col(numerator) * F.col("n")).alias("x"), F.sum(F.col(denominator) * F.col("n")).alias("y"))
+    x = counts.join(boot, "unit").groupBy("b").agg(F.sum(F.col(numerator) * F.col("n")).alias("x"), F.sum(F.col(denominator) * F.col("n")).alias("y"))
     return x.select("b", F.when(F.col("y") > 0, F.col("x") / F.col("y")).alias("value"))
 
 

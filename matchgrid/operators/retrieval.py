@@ -14,19 +14,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchgrid.operators.pairs import _vectors
+from matchgrid.operators.pairs import normalised, vectors
+from matchgrid.operators.sampling import running
 
 BLOCK = 1024
 
 
 def _blocks(df: DataFrame, key: str, vector: str, side: int, cut: int) -> DataFrame:
-    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(cut)).cast("int").alias("block"), F.lit(side).alias("side"))
+    return df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(cut)).cast("int").alias("block"), F.lit(side).alias("side"))
 
 
 def distances(queries: DataFrame, gallery: DataFrame, key: str = "crop_id", vector: str = "embedding", metric: str = "cosine", nearest: int | None = None) -> DataFrame:
     """qid, gid, dist for all pairs, or for the nearest (by dist, gid) of each query. Distances have nine decimals.
 
-    metric: cosine (1 - cos) or euclidean (squared). The two sides are cut into blocks of about BLOCK rows.
+    metric: cosine (1 - cos) or euclidean (squared). The two sides are cut into blocks of about BLOCK rows. Null keys and
+    vectors, ragged and non-finite vectors are errors; rows that share a key each count; an empty side gives no rows.
     """
     if metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric!r}")
@@ -36,12 +38,9 @@ def distances(queries: DataFrame, gallery: DataFrame, key: str = "crop_id", vect
     g = g.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))).select("id", "v", "side", F.col("other").alias("i"), F.col("block").alias("j"))
 
     def run(table: pa.Table) -> pa.Table:
+        v = vectors(table, "v", "id")
+        v = normalised(v) if metric == "cosine" else v
         side, ids = table.column("side").to_numpy(), table.column("id").to_numpy()
-        flat = table.column("v").combine_chunks()
-        if metric == "cosine":
-            v = _vectors(table.column("v"))
-        else:
-            v = np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         b = b[np.argsort(ids[b], kind="stable")]
         if not len(a) or not len(b):
@@ -116,17 +115,24 @@ def single_shot(pairs: DataFrame, repeats: int, seed: int = 0) -> DataFrame:
 
 
 def roc(pairs: DataFrame) -> DataFrame:
-    """At each distinct distance, the shares of matches and of others at or below it."""
-    g = pairs.groupBy("dist").agg(F.sum(F.col("match").cast("long")).alias("p"), F.sum((~F.col("match")).cast("long")).alias("n"))
-    total = g.agg(F.sum("p").alias("pt"), F.sum("n").alias("nt"))
-    w = Window.orderBy("dist")
-    return g.select("dist", F.sum("p").over(w).alias("p"), F.sum("n").over(w).alias("n")).crossJoin(F.broadcast(total)).select("dist", (F.col("p") / F.col("pt")).alias("tpr"), (F.col("n") / F.col("nt")).alias("fpr"))
+    """dist, tpr, fpr by falling distance: of the pairs of different identities, the positive class whose score is the
+    distance, and of the matches, the shares at or above it. Points on a straight line between their neighbours are left out,
+    and the curve starts at a null distance with no pair. Sums are made by ranges of distances, none in a single task."""
+    g = pairs.groupBy("dist").agg(F.sum((~F.col("match")).cast("long")).alias("p"), F.sum(F.col("match").cast("long")).alias("n"))
+    total = g.agg(F.sum("p").alias("pt"), F.sum("n").alias("nt"), F.count("*").alias("points"))
+    points = running(g, [F.desc("dist")], ["p", "n"])
+    after = points.select((F.col("pos") - 1).alias("pos"), F.col("p").alias("p2"), F.col("n").alias("n2"))
+    both = points.join(after, "pos", "left").crossJoin(F.broadcast(total))
+    kept = both.where((F.col("pos") == 0) | (F.col("pos") == F.col("points") - 1) | (F.col("p") != F.col("p2")) | (F.col("n") != F.col("n2")))
+    curve = kept.select("dist", (F.col("cum_p") / F.col("pt")).alias("tpr"), (F.col("cum_n") / F.col("nt")).alias("fpr"))
+    return curve.unionByName(total.where("points > 0").select(F.lit(None).cast("double").alias("dist"), F.lit(0.0).alias("tpr"), F.lit(0.0).alias("fpr")))
 
 
 def tpr_at(curve: DataFrame, targets: Sequence[float]) -> DataFrame:
-    """The tpr where fpr is nearest to each target; of equally near, at the smaller distance."""
+    """The tpr where fpr is nearest to each target; of equally near, at the larger distance, the curve's start first."""
     goal = curve.sparkSession.createDataFrame([(float(t),) for t in targets], "target double")
-    near = curve.crossJoin(F.broadcast(goal)).groupBy("target").agg(F.min(F.struct(F.abs(F.col("fpr") - F.col("target")).alias("d"), "dist", "tpr")).alias("m"))
+    order = F.struct(F.abs(F.col("fpr") - F.col("target")).alias("d"), (-F.coalesce("dist", F.lit(float("inf")))).alias("far"), "tpr")
+    near = curve.crossJoin(F.broadcast(goal)).groupBy("target").agg(F.min(order).alias("m"))
     return near.select("target", "m.tpr")
 
 

@@ -23,12 +23,35 @@ def numbered(df: DataFrame, *order: Column, to: str = "pos") -> DataFrame:
     return rows.join(starts, "_part").withColumn(to, F.col("_start") + F.col("_in")).drop("_id", "_part", "_in", "_start")
 
 
+def running(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
+    """Running sums cum_<column> and positions from zero in a total order: sums inside range partitions, shifted by those of
+    the partitions before."""
+    rows = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_rows"), *(F.sum(c).alias(f"_sum_{c}") for c in columns))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    starts = parts.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_rows", *(f"_sum_{c}" for c in columns))))
+    w = Window.partitionBy("_part").orderBy(*order)
+    rows = rows.join(starts, "_part").withColumn("pos", F.col("_rows") + F.row_number().over(w) - 1)
+    rows = rows.withColumns({f"cum_{c}": F.col(f"_sum_{c}") + F.sum(c).over(w) for c in columns})
+    return rows.drop("_part", "_rows", *(f"_sum_{c}" for c in columns))
+
+
 def contiguous_shards(df: DataFrame, order: Sequence[Column], shards: int) -> DataFrame:
     """Exact contiguous shards of ceil(n / shards) rows."""
     n = df.count()
     return numbered(df, *order).withColumn("shard", F.floor(F.col("pos") / F.lit(max(1, -(-n // shards)))))
 
 
+def contiguous_folds(df: DataFrame, order: Sequence[Column], folds: int) -> DataFrame:
+    """fold: contiguous blocks of the order; where the rows do not divide evenly, the first blocks have one more."""
+    n = df.count()
+    small, more = divmod(n, folds)
+    cut = more * (small + 1)
+    pos = F.col("pos")
+    fold = F.when(pos < cut, F.floor(pos / (small + 1))).otherwise(more + F.floor((pos - cut) / max(1, small)))
+    return numbered(df, *order).withColumn("fold", fold.cast("long")).drop("pos")
+
+
 def strided_stream(df: DataFrame, key: str, seed: int, rank: int, world: int) -> DataFrame:
     """The rank-th of every `world` rows of one epoch's shuffled order."""
     return numbered(df, draw(seed, key), F.col(key)).where(F.pmod("pos", F.lit(world)) == rank)

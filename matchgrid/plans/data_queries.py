@@ -153,18 +153,9 @@ def imbalance_weights(spark, sf_dir):
 
 @query(
     "class_center_sample",
-    "WITH p AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderkey % 40 = 0), c AS (SELECT c_custkey AS k, c_custkey IN (SELECT k FROM p) AS positive FROM customer), n AS (SELECT greatest(100, (SELECT count(*) FROM c WHERE positive)) AS n), t AS (SELECT *, row_number() OVER (ORDER BY NOT positive, md5('0|' || k), k) AS r FROM c) SELECT k, positive, row_number() OVER (ORDER BY k) - 1 AS new_label FROM t, n WHERE r <= n",
-)
-def class_center_sample(spark, sf_dir):
-    classes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    return S.class_centres(classes, table(spark, sf_dir, "orders").where("o_orderkey % 40 = 0").select(F.col("o_custkey").alias("k")), "k", 100)
-
-
-@query(
-    "class_center_sample_all",
     "WITH p AS (SELECT DISTINCT o_custkey AS k FROM orders), c AS (SELECT c_custkey AS k, c_custkey IN (SELECT k FROM p) AS positive FROM customer), n AS (SELECT greatest(100, (SELECT count(*) FROM c WHERE positive)) AS n), t AS (SELECT *, row_number() OVER (ORDER BY NOT positive, md5('0|' || k), k) AS r FROM c) SELECT k, positive, row_number() OVER (ORDER BY k) - 1 AS new_label FROM t, n WHERE r <= n",
 )
-def class_center_sample_all(spark, sf_dir):
+def class_center_sample(spark, sf_dir):
     """The positives of all orders."""
     classes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
     return S.class_centres(classes, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), "k", 100)
@@ -218,7 +209,7 @@ def sharded_softmax(spark, sf_dir):
     return E.sharded_cross_entropy(logits(spark, sf_dir)).withColumn("loss", F.round("loss", 7))
 
 
-VERIFY = f"""{CROPS}, v AS (SELECT a.crop_id AS pair_id, round(2 - 2 * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS dist, a.object_id = b.object_id AS same, a.crop_id % 10 AS fold FROM crops a JOIN crops b ON b.crop_id = a.crop_id + 1),
+VERIFY = f"""{CROPS}, v AS (SELECT a.crop_id AS pair_id, round(2 - 2 * list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS dist, a.object_id = b.object_id AS same, ntile(10) OVER (ORDER BY a.crop_id) - 1 AS fold FROM crops a JOIN crops b ON b.crop_id = a.crop_id + 1),
 g AS (SELECT fold, k, k * 0.01::DOUBLE AS threshold, count(*) FILTER (dist < k * 0.01::DOUBLE AND same) AS tp, count(*) FILTER (dist < k * 0.01::DOUBLE AND NOT same) AS fp, count(*) FILTER (same) AS p, count(*) FILTER (NOT same) AS n FROM v, range(400) t(k) GROUP BY ALL),
 t AS (SELECT *, tp + n - fp AS right_, p + n AS size FROM g), x AS (SELECT *, ((sum(right_) OVER (PARTITION BY k) - right_)::BIGINT / (sum(size) OVER (PARTITION BY k) - size)::BIGINT) AS train FROM t)"""
 
@@ -226,10 +217,10 @@ t AS (SELECT *, tp + n - fp AS right_, p + n AS size FROM g), x AS (SELECT *, ((
 @query("kfold_verification", f"WITH {VERIFY} SELECT fold, threshold, right_ / size AS acc, tp / CASE WHEN p > 0 THEN p END AS tpr, fp / CASE WHEN n > 0 THEN n END AS fpr FROM x QUALIFY row_number() OVER (PARTITION BY fold ORDER BY train DESC, k) = 1")
 def kfold_verification(spark, sf_dir):
     c = crops(spark, sf_dir)
-    a = c.select(F.col("crop_id").alias("pair_id"), F.col("embedding").alias("x"), F.col("object_id").alias("o"), (F.col("crop_id") % 10).alias("fold"))
+    a = c.select(F.col("crop_id").alias("pair_id"), F.col("embedding").alias("x"), F.col("object_id").alias("o"))
     b = c.select((F.col("crop_id") - 1).alias("pair_id"), F.col("embedding").alias("y"), F.col("object_id").alias("q"))
-    pairs = a.join(b, "pair_id").select("pair_id", F.round(2 * cosine_distance(F.col("x"), F.col("y")), 9).alias("dist"), (F.col("o") == F.col("q")).alias("same"), "fold")
-    return E.fold_verification(pairs, 10, 400, 0.01)
+    pairs = a.join(b, "pair_id").select("pair_id", F.round(2 * cosine_distance(F.col("x"), F.col("y")), 9).alias("dist"), (F.col("o") == F.col("q")).alias("same"))
+    return E.fold_verification(S.contiguous_folds(pairs, [F.col("pair_id")], 10), 10, 400, 0.01)
 
 
 BOTH = f"""{CROPS}, m AS (SELECT a.crop_id AS a, b.crop_id AS b, a.object_id = b.object_id AS same, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM crops a JOIN crops b ON a.video_id = b.video_id),
@@ -284,7 +275,7 @@ def unit_counts(spark, sf_dir):
 @query("bootstrap_ci", f"WITH {UNITS} SELECT round(quantile_cont(value, 0.025), 9) AS lo, round(quantile_cont(value, 0.975), 9) AS hi FROM vals")
 def bootstrap_ci(spark, sf_dir):
     u = unit_counts(spark, sf_dir)
-    i = resample.interval(resample.pooled(u, resample.hashed(u, 200), "tp", "n_pos"), "value")
+    i = resample.interval(resample.pooled(u, resample.hashed(u, 200), "tp", "n_pos"), "value", units=u)
     return i.select(F.round("lo", 9).alias("lo"), F.round("hi", 9).alias("hi"))
 
 

@@ -14,14 +14,28 @@ VAL, TEST = f"site_id = {VALIDATION_SITE}", f"site_id <> {VALIDATION_SITE}"
 TARGETS = B.FAR_TARGETS
 
 
-def described(spark: SparkSession, sf_dir: str, full: bool = False) -> DataFrame:
-    """Pairs of all units with objects and site; full: with difficulty bins and weights."""
-    c = crops(spark, sf_dir)
-    p = pairs.similarities(c)
+def described(spark: SparkSession, sf_dir: str, full: bool = False, where: str = "true") -> DataFrame:
+    """Pairs of the units with objects and site; full: with difficulty bins and weights. The condition is on crops, below
+    the pairs: a unit lies in one site."""
+    c = crops(spark, sf_dir).where(where)
     if not full:
-        return pairs.with_objects(p, c, extra=["site_id"]).withColumnRenamed("site_id_a", "site_id")
-    p = pairs.describe(pairs.with_objects(p, c, extra=pairs.DESCRIPTORS)).withColumnRenamed("site_id_a", "site_id")
-    return pairs.with_weights(p, pairs.object_sizes(c))
+        return same_object(pairs.similarities(c, carry=["object_id", "site_id"]))
+    sizes = pairs.object_sizes(c).withColumnRenamed("unit", "video_id")
+    p = pairs.similarities(c.join(sizes, ["video_id", "object_id"]), carry=["object_id", "size", *pairs.DESCRIPTORS])
+    return pairs.with_weights(pairs.describe(same_object(p)))
+
+
+def same_object(p: DataFrame) -> DataFrame:
+    return p.withColumn("same", F.col("object_id_a") == F.col("object_id_b")).withColumnRenamed("site_id_a", "site_id")
+
+
+def hist(spark: SparkSession, sf_dir: str, *by: str, where: str = "true") -> DataFrame:
+    """The fine histogram by unit, site or neither. Counted in the tasks that have the similarities."""
+    c = crops(spark, sf_dir).where(where)
+    h = pairs.counts(c, B.FINE)
+    if "site_id" in by:
+        h = h.join(c.select(F.col("video_id").alias("unit"), "site_id").distinct(), "unit")
+    return h.groupBy(*by, "same", "bin").agg(F.sum("n").alias("n"))
 
 
 def fine(p: DataFrame, *by: str) -> DataFrame:
@@ -30,7 +44,7 @@ def fine(p: DataFrame, *by: str) -> DataFrame:
 
 @query("pair_fine_hist", f"WITH {PAIRS_SQL} SELECT unit, same, fine AS bin, count(*) AS n FROM pairs GROUP BY ALL")
 def pair_fine_hist(spark, sf_dir):
-    return fine(described(spark, sf_dir), "unit")
+    return hist(spark, sf_dir, "unit")
 
 
 _THR = f"thr AS ({thresholds_sql(TARGETS)})"
@@ -38,17 +52,26 @@ _THR = f"thr AS ({thresholds_sql(TARGETS)})"
 
 @query("far_thresholds", f"WITH {PAIRS_SQL}, {edges_sql(VAL)} {thresholds_sql(TARGETS)}")
 def far_thresholds(spark, sf_dir):
-    return curves.far_thresholds(fine(described(spark, sf_dir).where(VAL)), B.FINE, TARGETS)
+    return curves.far_thresholds(hist(spark, sf_dir, where=VAL), B.FINE, TARGETS)
+
 
+def counts_at(p: DataFrame, thr: DataFrame, *by: str, on: tuple[str, ...] = (), n: int = len(TARGETS)) -> DataFrame:
+    """tp, n_pos, fp, n_neg of the pairs at each of at most n thresholds, by the given columns.
 
-def counts_at(p: DataFrame, thr: DataFrame, *by: str) -> DataFrame:
-    """tp, n_pos, fp, n_neg of the pairs at each threshold (a handful of rows: broadcast)."""
-    at = p.crossJoin(F.broadcast(thr))
-    hit = F.col("s") >= F.col("threshold")
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    return at.groupBy(*by, "target", "threshold").agg(
-        n(F.col("same") & hit).alias("tp"), n(F.col("same")).alias("n_pos"), n(~F.col("same") & hit).alias("fp"), n(~F.col("same")).alias("n_neg")
+    thr: target, threshold and the columns `on` that pairs find theirs by. A pair stays one row: the thresholds lie side by
+    side, and each has its own sums.
+    """
+    wide = thr.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct("target", "threshold"))).alias("t"))  # n to a row
+    at = p.join(wide, list(on)) if on else p.crossJoin(F.broadcast(wide))
+    count = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
+    same = F.col("same")
+    hit = [F.col("s") >= F.get("t", k).getField("threshold") for k in range(n)]
+    sums = at.groupBy(*by).agg(
+        F.first("t").alias("t"), count(same).alias("n_pos"), count(~same).alias("n_neg"), *(count(same & h).alias(f"tp{k}") for k, h in enumerate(hit)), *(count(~same & h).alias(f"fp{k}") for k, h in enumerate(hit))
     )
+    each = F.explode(F.array(*(F.struct(F.get("t", k).alias("t"), F.col(f"tp{k}").alias("tp"), F.col(f"fp{k}").alias("fp")) for k in range(n)))).alias("e")
+    out = sums.select(*by, "n_pos", "n_neg", each).where("e.t is not null")
+    return out.select(*by, "e.t.target", "e.t.threshold", "e.tp", "n_pos", "e.fp", "n_neg")
 
 
 _COUNTS = "count(*) FILTER (same AND s >= threshold) AS tp, count(*) FILTER (same) AS n_pos, count(*) FILTER (NOT same AND s >= threshold) AS fp, count(*) FILTER (NOT same) AS n_neg"
@@ -62,9 +85,8 @@ def _tar_far_sql(by: str = "") -> str:
 
 
 def tar_far(spark, sf_dir, *by):
-    p = described(spark, sf_dir)
-    thr = curves.far_thresholds(fine(p.where(VAL)), B.FINE, TARGETS)
-    return curves.rates(counts_at(p.where(TEST), thr, *by))
+    thr = curves.far_thresholds(hist(spark, sf_dir, where=VAL), B.FINE, TARGETS)
+    return curves.rates(counts_at(described(spark, sf_dir, where=TEST), thr, *by))
 
 
 @query("flagship", _tar_far_sql())
@@ -84,7 +106,7 @@ def per_site(spark, sf_dir):
 
 @query("roc_edges", f"WITH {PAIRS_SQL}, {edges_sql(TEST)} SELECT edge::INT AS edge, -1.0::DOUBLE + edge * 2.0::DOUBLE / 2000 AS threshold, far, tar, (pos + neg_total - neg)::DOUBLE / (pos_total + neg_total) AS acc, (tar + 1 - far) / 2 AS bacc FROM roc")
 def roc_edges(spark, sf_dir):
-    return curves.roc(fine(described(spark, sf_dir).where(TEST)), B.FINE)
+    return curves.roc(hist(spark, sf_dir, where=TEST), B.FINE)
 
 
 _AUC = "SELECT {by} sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg, CASE WHEN sum(p) * sum(n) > 0 THEN sum(p * (2 * below + n))::DOUBLE / (2.0::DOUBLE * sum(p)::BIGINT * sum(n)::BIGINT) END AS auc FROM (SELECT *, coalesce(sum(n) OVER ({part} ORDER BY fine ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM sides) {group}"
@@ -92,12 +114,12 @@ _AUC = "SELECT {by} sum(p)::BIGINT AS n_pos, sum(n)::BIGINT AS n_neg, CASE WHEN
 
 @query("auc", f"WITH {PAIRS_SQL}, {edges_sql(TEST)} {_AUC.format(by='', part='', group='')}")
 def auc(spark, sf_dir):
-    return curves.auc(fine(described(spark, sf_dir).where(TEST)))
+    return curves.auc(hist(spark, sf_dir, where=TEST))
 
 
 @query("auc_per_video", f"WITH {PAIRS_SQL}, {edges_sql('true', ('unit',))} {_AUC.format(by='unit,', part='PARTITION BY unit', group='GROUP BY unit')}")
 def auc_per_video(spark, sf_dir):
-    return curves.auc(fine(described(spark, sf_dir), "unit"), ["unit"])
+    return curves.auc(hist(spark, sf_dir, "unit"), ["unit"])
 
 
 def _crossing_sql(level: str, value: str, extra: str = "") -> str:
@@ -109,12 +131,12 @@ SELECT unit, {extra} (1 - w) * {value}0 + w * {value}1 AS """
 
 @query("eer", f"WITH {PAIRS_SQL}, {edges_sql('true', ('unit',))}, {_crossing_sql('far - (1 - tar)', 'far')} eer FROM (SELECT *, greatest(0, least(1, coalesce(CASE WHEN d0 - d1 > 0 THEN d0 / (d0 - d1) END, 0))) AS w FROM c)")
 def eer(spark, sf_dir):
-    return curves.eer(fine(described(spark, sf_dir), "unit"), B.FINE, ["unit"])
+    return curves.eer(hist(spark, sf_dir, "unit"), B.FINE, ["unit"])
 
 
 @query("best_tar_at_far", f"WITH {PAIRS_SQL}, {edges_sql('true', ('unit',))}, {_crossing_sql('far - 0.01::DOUBLE', 'tar', '0.01::DOUBLE AS target,')} best_tar FROM (SELECT *, greatest(0, least(1, coalesce(CASE WHEN far0 - far1 > 0 THEN (far0 - 0.01::DOUBLE) / (far0 - far1) END, 0))) AS w FROM c)")
 def best_tar_at_far(spark, sf_dir):
-    return curves.best_tar(fine(described(spark, sf_dir), "unit"), B.FINE, 0.01, ["unit"])
+    return curves.best_tar(hist(spark, sf_dir, "unit"), B.FINE, 0.01, ["unit"])
 
 
 @query(
@@ -125,7 +147,7 @@ SELECT unit, same, q, -1.0::DOUBLE + (fine + greatest(0::DOUBLE, least(1::DOUBLE
 FROM c, (VALUES (0.05::DOUBLE), (0.5::DOUBLE), (0.95::DOUBLE)) v(q) WHERE cum::BIGINT >= q * total::BIGINT QUALIFY row_number() OVER (PARTITION BY unit, same, q ORDER BY fine) = 1""",
 )
 def hist_quantiles(spark, sf_dir):
-    return curves.quantiles(fine(described(spark, sf_dir), "unit"), B.FINE, (0.05, 0.5, 0.95), ["unit"])
+    return curves.quantiles(hist(spark, sf_dir, "unit"), B.FINE, (0.05, 0.5, 0.95), ["unit"])
 
 
 @query(
@@ -186,9 +208,8 @@ def cube_hist(spark, sf_dir):
 
 @query("kpmin_bins", f"WITH {PAIRS_SQL}, {edges_sql(VAL)}, {_THR}, c AS (SELECT kpmin_bin, target, threshold, {_COUNTS} FROM pairs, thr WHERE {TEST} GROUP BY ALL) SELECT *, {RATES_SQL} FROM c")
 def kpmin_bins(spark, sf_dir):
-    p = described(spark, sf_dir, True)
-    thr = curves.far_thresholds(fine(p.where(VAL)), B.FINE, TARGETS)
-    return curves.rates(counts_at(p.where(TEST), thr, "kpmin_bin"))
+    thr = curves.far_thresholds(hist(spark, sf_dir, where=VAL), B.FINE, TARGETS)
+    return curves.rates(counts_at(described(spark, sf_dir, True, TEST), thr, "kpmin_bin"))
 
 
 @query(
@@ -197,9 +218,8 @@ def kpmin_bins(spark, sf_dir):
 SELECT *, {RATES_SQL}, n_pos >= 30 AND objects >= 10 AS supported FROM c""",
 )
 def bin_table(spark, sf_dir):
-    p = described(spark, sf_dir, True)
-    thr = curves.far_thresholds(fine(p.where(VAL)), B.FINE, TARGETS)
-    test = p.where(TEST)
+    thr = curves.far_thresholds(hist(spark, sf_dir, where=VAL), B.FINE, TARGETS)
+    test = described(spark, sf_dir, True, TEST)
     objects = test.where("same").groupBy("pos_bin").agg(F.countDistinct("unit", "object_id_a").alias("objects"))
     out = curves.rates(counts_at(test, thr, "pos_bin")).join(objects, "pos_bin", "left").withColumn("objects", F.coalesce("objects", F.lit(0)))
     return out.withColumn("supported", (F.col("n_pos") >= B.MIN_POSITIVES) & (F.col("objects") >= B.MIN_OBJECTS))
@@ -256,9 +276,8 @@ UNION ALL SELECT 'bin_balanced', sum(CAST(round(tp::DOUBLE / np * 1e12) AS BIGIN
 )
 def headline(spark, sf_dir):
     """The aggregation versions side by side. Means are over whole multiples of 1e-12."""
-    p = described(spark, sf_dir, True)
-    thr = curves.far_thresholds(fine(p.where(VAL)), B.FINE, (0.01,)).drop("target")
-    t = p.where(TEST).crossJoin(F.broadcast(thr)).withColumn("hit", F.col("s") >= F.col("threshold"))
+    thr = curves.far_thresholds(hist(spark, sf_dir, where=VAL), B.FINE, (0.01,)).drop("target")
+    t = described(spark, sf_dir, True, TEST).crossJoin(F.broadcast(thr)).withColumn("hit", F.col("s") >= F.col("threshold"))
     same, hit = F.col("same"), F.col("hit")
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     w = lambda c: F.sum(F.when(c, F.col("w"))).cast("double")
@@ -293,9 +312,8 @@ SELECT unit, object_id, n_pos, tp, lowest, confused_with, matched_with FROM pos
 )
 def per_object(spark, sf_dir):
     """Confused: the median over the pair of objects is above the threshold; matched: some pair reaches it."""
-    p = described(spark, sf_dir)
-    thr = curves.far_thresholds(fine(p.where(VAL)), B.FINE, (0.01,)).drop("target")
-    t = p.where(TEST).crossJoin(F.broadcast(thr)).withColumn("hit", F.col("s") >= F.col("threshold"))
+    thr = curves.far_thresholds(hist(spark, sf_dir, where=VAL), B.FINE, (0.01,)).drop("target")
+    t = described(spark, sf_dir, where=TEST).crossJoin(F.broadcast(thr)).withColumn("hit", F.col("s") >= F.col("threshold"))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0))
     pos = t.where("same").groupBy("unit", F.col("object_id_a").alias("object_id")).agg(F.count("*").alias("n_pos"), n(F.col("hit")).alias("tp"), F.min("s").alias("lowest"))
     both = t.where("not same").groupBy("unit", F.least("object_id_a", "object_id_b").alias("lo"), F.greatest("object_id_a", "object_id_b").alias("hi"))
@@ -311,7 +329,7 @@ def per_object(spark, sf_dir):
 SELECT count(auc) AS n, median(auc) AS median, min(auc) AS min, max(auc) AS max FROM a""",
 )
 def unit_spread(spark, sf_dir):
-    a = curves.auc(fine(described(spark, sf_dir), "unit"), ["unit"])
+    a = curves.auc(hist(spark, sf_dir, "unit"), ["unit"])
     return a.agg(F.count("auc").alias("n"), F.median("auc").alias("median"), F.min("auc").alias("min"), F.max("auc").alias("max"))
 
 
@@ -327,14 +345,8 @@ def _oracle_protocol_sql(by: tuple[str, ...]) -> str:
 
 def own_thresholds(spark, sf_dir, by):
     """Each unit at the thresholds of its own group's negatives: an upper bound for any calibration."""
-    p = described(spark, sf_dir)
-    thr = curves.far_thresholds(fine(p, *by), B.FINE, TARGETS, list(by))
-    if not by:
-        return curves.rates(counts_at(p, thr, "unit"))
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    hit, same = F.col("s") >= F.col("threshold"), F.col("same")
-    at = p.join(thr, list(by)).groupBy("unit", "target", "threshold")
-    return curves.rates(at.agg(n(same & hit).alias("tp"), n(same).alias("n_pos"), n(~same & hit).alias("fp"), n(~same).alias("n_neg")))
+    thr = curves.far_thresholds(hist(spark, sf_dir, *by), B.FINE, TARGETS, list(by))
+    return curves.rates(counts_at(described(spark, sf_dir), thr, "unit", on=by))
 
 
 for _name, _by in PROTOCOLS.items():
@@ -350,16 +362,12 @@ c AS (SELECT p.unit, target, threshold, {_COUNTS} FROM pairs p JOIN thr ON thr.u
 )
 def thr_site_loo(spark, sf_dir):
     """Each unit at the thresholds of the other units of its site; the only unit of a site is left out."""
-    p = described(spark, sf_dir)
-    h = fine(p, "site_id", "unit").where("not same")
-    units = p.select("site_id", "unit").distinct()
+    h = hist(spark, sf_dir, "site_id", "unit").where("not same")
+    units = crops(spark, sf_dir).select("site_id", F.col("video_id").alias("unit")).distinct()
     other = units.join(units.withColumnRenamed("unit", "other"), "site_id").where("unit <> other")
     rest = other.join(h.withColumnRenamed("unit", "other"), ["site_id", "other"]).groupBy("unit", "same", "bin").agg(F.sum("n").alias("n"))
     thr = curves.far_thresholds(rest, B.FINE, TARGETS, ["unit"])
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    hit, same = F.col("s") >= F.col("threshold"), F.col("same")
-    at = p.join(thr, "unit").groupBy("unit", "target", "threshold")
-    return curves.rates(at.agg(n(same & hit).alias("tp"), n(same).alias("n_pos"), n(~same & hit).alias("fp"), n(~same).alias("n_neg")))
+    return curves.rates(counts_at(described(spark, sf_dir), thr, "unit", on=("unit",)))
 
 
 @query(
@@ -388,11 +396,7 @@ SELECT *, {RATES_SQL} FROM c""",
 def thr_video_heldout(spark, sf_dir):
     """Each fold of a unit's objects at the thresholds of the other fold; pairs across folds are left out."""
     f = folds(crops(spark, sf_dir))
-    p = described(spark, sf_dir)
-    inside = p.join(f.withColumnRenamed("object_id", "object_id_a"), ["unit", "object_id_a"])
-    inside = inside.join(f.select("unit", F.col("object_id").alias("object_id_b"), F.col("fold").alias("fold_b")), ["unit", "object_id_b"]).where("fold = fold_b")
+    c = crops(spark, sf_dir).join(f.withColumnRenamed("unit", "video_id"), ["video_id", "object_id"])
+    inside = same_object(pairs.similarities(c, carry=["object_id", "site_id", "fold"])).where("fold_a = fold_b").withColumnRenamed("fold_a", "fold")
     thr = curves.far_thresholds(fine(inside, "unit", "fold"), B.FINE, TARGETS, ["unit", "fold"]).withColumn("fold", 1 - F.col("fold"))
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    hit, same = F.col("s") >= F.col("threshold"), F.col("same")
-    at = inside.join(thr, ["unit", "fold"]).groupBy("unit", "target", "fold", "threshold")
-    return curves.rates(at.agg(n(same & hit).alias("tp"), n(same).alias("n_pos"), n(~same & hit).alias("fp"), n(~same).alias("n_neg")))
+    return curves.rates(counts_at(inside, thr, "unit", "fold", on=("unit", "fold")))

@@ -77,10 +77,13 @@ def cuhk_single_shot(spark, sf_dir):
     return R.single_shot(clean(spark, sf_dir), 10)
 
 
-_ROC = "g AS (SELECT dist, count(*) FILTER (match) AS p, count(*) FILTER (NOT match) AS n FROM clean GROUP BY dist), roc AS (SELECT dist, sum(p) OVER (ORDER BY dist) / sum(p) OVER () AS tpr, sum(n) OVER (ORDER BY dist) / sum(n) OVER () AS fpr FROM g)"
+#: The curve of the pairs of different identities against matches, the score being the distance, by falling score.
+_ROC = """g AS (SELECT dist, count(*) FILTER (NOT match) AS p, count(*) FILTER (match) AS n FROM clean GROUP BY dist),
+c AS (SELECT *, sum(p) OVER w / sum(p) OVER () AS tpr, sum(n) OVER w / sum(n) OVER () AS fpr, lag(dist) OVER w IS NULL OR lead(dist) OVER w IS NULL OR lead(p) OVER w <> p OR lead(n) OVER w <> n AS corner FROM g WINDOW w AS (ORDER BY dist DESC)),
+roc AS (SELECT dist, tpr, fpr FROM c WHERE corner UNION ALL SELECT 'inf'::DOUBLE, 0, 0)"""
 
 
-@query("tpr_at_fpr", f"WITH {DIST_SQL}, {_ROC} SELECT target, tpr FROM roc, (VALUES (1e-4::DOUBLE), (1e-3::DOUBLE), (1e-2::DOUBLE)) v(target) QUALIFY row_number() OVER (PARTITION BY target ORDER BY abs(fpr - target), dist) = 1")
+@query("tpr_at_fpr", f"WITH {DIST_SQL}, {_ROC} SELECT target, tpr FROM roc, (VALUES (1e-4::DOUBLE), (1e-3::DOUBLE), (1e-2::DOUBLE)) v(target) QUALIFY row_number() OVER (PARTITION BY target ORDER BY abs(fpr - target), dist DESC) = 1")
 def tpr_at_fpr(spark, sf_dir):
     return R.tpr_at(R.roc(clean(spark, sf_dir)), (1e-4, 1e-3, 1e-2))
 
@@ -143,18 +146,9 @@ def jaccard_dist(spark, sf_dir):
 @query(
     "rerank_blend",
     f"""WITH {_jaccard_sql(20, 6)}, b AS (SELECT d.qid, d.gid, round(coalesce(jd.dist, 1) * 0.7 + d.dist * 0.3, 7) AS dist FROM d JOIN crops q ON q.crop_id = d.qid AND q.role = 'query' JOIN crops g ON g.crop_id = d.gid AND g.role = 'gallery' LEFT JOIN jd ON jd.qid = d.qid AND jd.gid = d.gid)
-SELECT qid, gid, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, gid)::INT AS rank FROM b QUALIFY row_number() OVER (PARTITION BY qid ORDER BY dist, gid) <= 5""",
-)
-def rerank_blend(spark, sf_dir):
-    return rerank_blend_all(spark, sf_dir).where("rank <= 5")
-
-
-@query(
-    "rerank_blend_all",
-    f"""WITH {_jaccard_sql(20, 6)}, b AS (SELECT d.qid, d.gid, round(coalesce(jd.dist, 1) * 0.7 + d.dist * 0.3, 7) AS dist FROM d JOIN crops q ON q.crop_id = d.qid AND q.role = 'query' JOIN crops g ON g.crop_id = d.gid AND g.role = 'gallery' LEFT JOIN jd ON jd.qid = d.qid AND jd.gid = d.gid)
 SELECT qid, gid, dist, row_number() OVER (PARTITION BY qid ORDER BY dist, gid)::INT AS rank FROM b""",
 )
-def rerank_blend_all(spark, sf_dir):
+def rerank_blend(spark, sf_dir):
     """The whole query x gallery matrix, ranked."""
     c, q, g = sides(spark, sf_dir)
     b = R.blend(R.distances(q, g, metric="euclidean"), R.jaccard(c, F.col("role") == "query"), 0.3).withColumn("dist", F.round("dist", 7))
@@ -177,8 +171,7 @@ m AS (SELECT unit, oa AS object_id, a AS medoid, sum(CAST(round(s * 1e9) AS BIGI
 
 
 def both_ways(spark, sf_dir):
-    c = crops(spark, sf_dir)
-    p = P.with_objects(P.similarities(c), c)
+    p = P.similarities(crops(spark, sf_dir), carry=["object_id"])
     one = p.select("unit", "a", "b", F.col("object_id_a").alias("oa"), F.col("object_id_b").alias("ob"), "s")
     return one.unionByName(p.select("unit", F.col("b").alias("a"), F.col("a").alias("b"), F.col("object_id_b").alias("oa"), F.col("object_id_a").alias("ob"), "s"))
 
@@ -255,13 +248,8 @@ def object_mean_similarity(spark, sf_dir):
     return _object_pairs(spark, sf_dir, "video_id_a = video_id_b AND object_id_a < object_id_b")
 
 
-@query("cross_unit_candidates", f"WITH {_MEANS}, p AS ({_OBJ} a.video_id < b.video_id) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY s DESC, video_id_a, object_id_a, video_id_b, object_id_b) <= 20")
+@query("cross_unit_candidates", f"WITH {_MEANS}, p AS ({_OBJ} a.video_id < b.video_id) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY s DESC, video_id_a, object_id_a, video_id_b, object_id_b) <= 200")
 def cross_unit_candidates(spark, sf_dir):
-    return _candidates(spark, sf_dir, 20)
-
-
-@query("cross_unit_candidates_200", f"WITH {_MEANS}, p AS ({_OBJ} a.video_id < b.video_id) SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY s DESC, video_id_a, object_id_a, video_id_b, object_id_b) <= 200")
-def cross_unit_candidates_200(spark, sf_dir):
     return _candidates(spark, sf_dir, 200)
 
 

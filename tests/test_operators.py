@@ -186,3 +186,63 @@ def test_numbering_is_total(spark):
     df = spark.range(100).select((F.col("id") * 37 % 101).alias("k")).repartition(5)
     got = {r.k: r.pos for r in sampling.numbered(df, F.col("k")).collect()}
     assert got == {k: n for n, k in enumerate(sorted(got))}
+
+
+def test_wrong_vectors_are_errors(spark):
+    schema = "crop_id long, video_id long, object_id long, embedding array<double>"
+    good = [(1, 0, 0, [1.0, 0.0]), (2, 0, 0, [1.0, 0.0]), (3, 0, 1, [0.0, 1.0])]
+    for bad in ((4, 0, 1, None), (4, 0, 1, [1.0, None]), (4, 0, 1, [1.0]), (4, 0, 1, [1.0, float("nan")]), (4, 0, 1, [float("inf"), 0.0]), (None, 0, 1, [1.0, 0.0]), (4, None, 1, [1.0, 0.0])):
+        df = spark.createDataFrame([*good, bad], schema)
+        for run in (lambda: pairs.similarities(df).collect(), lambda: pairs.counts(df, 200).collect()):
+            with pytest.raises(Exception, match="have no|null or not finite|components"):
+                run()
+        if bad[1] is not None:
+            with pytest.raises(Exception, match="have no|null or not finite|components"):
+                retrieval.distances(df, df, nearest=2).collect()
+    with pytest.raises(Exception, match="have no object_id"):
+        pairs.counts(spark.createDataFrame([*good, (4, 0, None, [1.0, 0.0])], schema), 200).collect()
+    none = spark.createDataFrame([], schema)
+    assert pairs.similarities(none).count() == pairs.counts(none, 200).count() == retrieval.distances(none, none).count() == 0
+    zero = spark.createDataFrame([*good, (4, 0, 1, [0.0, 0.0])], schema)
+    assert {(r.a, r.b): r.s for r in pairs.similarities(zero).collect()} == {(1, 2): 1.0, (1, 3): 0.0, (2, 3): 0.0, (1, 4): 0.0, (2, 4): 0.0, (3, 4): 0.0}
+
+
+def test_counts_in_tasks_equal_counts_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(pairs, "BLOCK", 7)
+    c = objects(spark, noise=0.4)
+    p = pairs.similarities(c, carry=["object_id", "camid"])
+    assert {(r.a, r.object_id_a, r.camid_a) for r in p.collect()} <= {(r.crop_id, r.object_id, r.camid) for r in c.collect()}
+    rows = pairs.histogram(p.withColumn("same", F.expr("object_id_a = object_id_b")), 200, "unit")
+    assert {tuple(r) for r in pairs.counts(c, 200).collect()} == {tuple(r) for r in rows.collect()}
+
+
+def test_roc_of_different_identities(spark):
+    """Scores are distances, the positive class is the pair of different identities; points inside straight runs are dropped."""
+    rng = np.random.default_rng(11)
+    rows = [(float(d), bool(m)) for d, m in zip(rng.integers(0, 40, 300) / 10, rng.random(300) < 0.3)]
+    rows += [(5.0 + k, False) for k in range(5)]
+    curve = retrieval.roc(spark.createDataFrame(rows, "dist double, match boolean").repartition(5))
+    falling = sorted({d for d, _ in rows}, reverse=True)
+    diff, same = sum(not m for _, m in rows), sum(m for _, m in rows)
+    points = [(sum(not m for d, m in rows if d >= t), sum(m for d, m in rows if d >= t)) for t in falling]
+    bent = [k for k in range(len(points)) if k in (0, len(points) - 1) or any(points[k + 1][j] - 2 * points[k][j] + points[k - 1][j] for j in (0, 1))]
+    want = [(None, 0.0, 0.0)] + [(falling[k], points[k][0] / diff, points[k][1] / same) for k in bent]
+    assert [tuple(r) for r in curve.orderBy(F.desc_nulls_first("dist")).collect()] == want
+    fprs = np.array([x[2] for x in want])
+    got = {r.target: r.tpr for r in retrieval.tpr_at(curve, (0.0, 0.01, 0.3)).collect()}
+    assert got == {t: want[int(np.argmin(np.abs(fprs - t)))][1] for t in (0.0, 0.01, 0.3)}
+    assert retrieval.roc(spark.createDataFrame([], "dist double, match boolean")).count() == 0
+
+
+def test_resampling_without_units(spark):
+    none = spark.createDataFrame([], "unit long, tp long, n_pos long")
+    boot = resample.hashed(none, 20)
+    assert boot.count() == 0 and resample.pooled(none, boot, "tp", "n_pos").count() == 0
+    few = spark.createDataFrame([(u, 1 + u, 9) for u in range(4)], "unit long, tp long, n_pos long")
+    i = resample.interval(resample.pooled(few, resample.hashed(few, 20), "tp", "n_pos"), "value", units=few).first()
+    assert (i.lo, i.hi) == (None, None)
+
+
+def test_contiguous_folds(spark):
+    got = sampling.contiguous_folds(spark.range(23).repartition(4), [F.col("id")], 10).orderBy("id").collect()
+    assert [r.fold for r in got] == [0, 0, 0, 1, 1, 1, 2, 2, 2, *(k for k in range(3, 10) for _ in range(2))]
