@@ -23,6 +23,7 @@ def byte_encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    _check(spec, path)
     as_byte = {chr(c): b for b, c in _byte_chars().items()}
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(as_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
@@ -46,6 +47,17 @@ def byte_encoder(path: str):
     return ids
 
 
+def _check(spec: dict, path: str) -> None:
+    """That the file is what the ranks assume: byte-level words without a normaliser or options, merges by rising id."""
+    split, model = spec["pre_tokenizer"] or {}, spec["model"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    words = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+    parts = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+    ids = [model["vocab"]["".join(m)] for m in parts]
+    if spec["normalizer"] or spec["post_processor"] or not plain or not words or any(a >= b for a, b in zip(ids, ids[1:])):
+        raise ValueError(f"{path} is no plain byte-level BPE file with merges in the order of their ids")
+
+
 def _byte_chars() -> dict[int, int]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

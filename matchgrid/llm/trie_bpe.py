@@ -2,9 +2,10 @@
 
 The encoding of a word's prefix is known from its last token alone: the encoding of a prefix p that ends in token t is
 the encoding of p without t, followed by t, and t is the only vocabulary token that ends p and is compatible with the
-last token before it. Two tokens are compatible if plain BPE leaves their concatenation as these two. So distinct words
-go into a trie, and a depth-first walk gives every node its last token from those of its ancestors: the encoding of a
-prefix that many words share is worked out once. A word's ids are read off by stepping back, token by token.
+last token before it. Two tokens are compatible if plain BPE leaves their concatenation as these two. So a depth-first walk
+of the trie of all distinct words gives every node its last token from those of its ancestors: the encoding of a prefix
+that many words share is worked out once. The trie's nodes are not stored: in sorted order words follow as the walk meets
+them, and a stack holds the path from the root, of which the next word keeps what it shares. A word's ids are read off by stepping back, token by token.
 
 A word's last character carries the end-of-word suffix, so it is a symbol of its own; the trie keeps it as an edge
 beside the plain character's.
@@ -22,6 +23,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -179,10 +181,10 @@ class Codec:
         codes, names = self.codes, self.names
         for p, ws in split.items():
             tokens = [t for w in ws for t in (known[w] if isinstance(w, str) else (names[w],))]
-            self.pieces[p] = b"".join([codes[t] for t in tokens]), " ".join(tokens)
+            self.pieces[p] = b"".join([codes[t] for t in tokens])
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """For each text its ids (little-endian uint32) and the ids' decoded text."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids (little-endian uint32)."""
         split = [self.BLANK.split(t) for t in texts]
         have = self.pieces
         wanted = set().union(*split)
@@ -191,15 +193,11 @@ class Codec:
                 have.clear()
                 missing = wanted
             self._learn(missing)
-        out = []
-        for ps in split:
-            found = [have[p] for p in ps]
-            out.append((b"".join([x for x, _ in found]), " ".join([y for x, y in found if x])))
-        return out
+        return [b"".join([have[p] for p in ps]) for ps in split]
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: bytes) -> str:
         """As the library decodes this file, which names no decoder: tokens joined by one space."""
-        return " ".join(self.names[i] for i in ids)
+        return " ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
 @functools.cache
@@ -220,15 +218,17 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
             for k in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(k, TOGETHER)
                 done = c.encode([t or "" for t in part.column(1).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x for x, _ in done], pa.binary()), pa.array([y for _, y in done], pa.string())], ["doc_id", "ids", "decoded"]
-                )
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(done, pa.binary()), pa.array([c.decode(x) for x in done], pa.string())], ["doc_id", "ids", "decoded"])
 
     return df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, ids binary, decoded string")
 
 
 def digests(df: DataFrame, vocabulary_path: str) -> DataFrame:
-    """doc_id, n_tokens and the hashes of ids and decoded text, without moving either out of the task."""
+    """doc_id, n_tokens and the hashes of ids and decoded text, without moving either out of the task.
+
+    Null text counts as empty: no ids, empty decoded text. Repeated rows and null ids are kept as they are; an empty
+    table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(vocabulary_path)
@@ -240,9 +240,9 @@ def digests(df: DataFrame, vocabulary_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column(0),
-                        "n_tokens": pa.array([len(x) // 4 for x, _ in done], pa.int64()),
-                        "ids_sha256": [sha(x) for x, _ in done],
-                        "decoded_sha256": [sha(y.encode()) for _, y in done],
+                        "n_tokens": pa.array([len(x) // 4 for x in done], pa.int64()),
+                        "ids_sha256": [sha(x) for x in done],
+                        "decoded_sha256": [sha(c.decode(x).encode()) for x in done],
                     }
                 )
 
