@@ -7,13 +7,14 @@ the whole gallery. Ties go to the smaller gallery id everywhere.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.functions.vectors import squared_distance
 from matchgrid.operators.pairs import normalised, vectors
 from matchgrid.operators.sampling import running
 
@@ -156,17 +157,19 @@ def reciprocal(near: DataFrame, k: int) -> DataFrame:
     return top.join(back, ["i", "j"], "left_semi")
 
 
-def encodings(items: DataFrame, k1: int, k2: int, key: str = "crop_id", vector: str = "embedding") -> DataFrame:
-    """i, j, v: k-reciprocal encodings, expanded, softmaxed over squared distances and averaged over the k2 nearest."""
-    dist = distances(items, items, key, vector, metric="euclidean")
-    near = _first(dist, max(k1, k2))
-    full, half = reciprocal(near, k1), reciprocal(near, round(k1 / 2))
+def encode(near: DataFrame, measured: Callable[[DataFrame], DataFrame], k_full: int, k_half: int, k2: int) -> DataFrame:
+    """i, j, v: k-reciprocal encodings from ranked neighbours (qid, gid, rank), expanded by the neighbours' own, with the
+    softmax of the opposite of the distance as weights, averaged over the k2 nearest.
+
+    measured: adds dist to rows of i, j. Only pairs that are in an encoding are measured, not all.
+    """
+    full, half = reciprocal(near, k_full), reciprocal(near, k_half)
     half = half.withColumnRenamed("i", "c").withColumnRenamed("j", "x")
     half_size = half.groupBy("c").agg(F.count("*").alias("m"))
     common = full.withColumnRenamed("j", "c").join(half, "c").join(full.select("i", F.col("j").alias("x")), ["i", "x"]).groupBy("i", "c").agg(F.count("*").alias("both"))
     taken = common.join(half_size, "c").where(F.col("both") * 3 > F.col("m") * 2)
     grown = full.unionByName(taken.join(half, "c").select("i", F.col("x").alias("j"))).distinct()
-    d = grown.join(dist.select(F.col("qid").alias("i"), F.col("gid").alias("j"), "dist"), ["i", "j"])
+    d = measured(grown)
     least = d.groupBy("i").agg(F.min("dist").alias("least"))
     e = d.join(least, "i").withColumn("e", F.exp(F.col("least") - F.col("dist")))
     total = e.groupBy("i").agg(F.sum("e").alias("total"))
@@ -177,15 +180,96 @@ def encodings(items: DataFrame, k1: int, k2: int, key: str = "crop_id", vector:
     return mine.join(v.select(F.col("i").alias("k"), "j", "v"), "k").groupBy("i", "j").agg((F.sum("v") / F.lit(k2)).alias("v"))
 
 
+def encodings(items: DataFrame, k1: int, k2: int, key: str = "crop_id", vector: str = "embedding") -> DataFrame:
+    """i, j, v: encodings over squared distances."""
+
+    def measured(pairs: DataFrame) -> DataFrame:
+        v = lambda at, to: items.select(F.col(key).cast("long").alias(at), F.col(vector).alias(to))
+        return pairs.join(v("i", "x"), "i").join(v("j", "y"), "j").select("i", "j", F.round(squared_distance(F.col("x"), F.col("y")), 9).alias("dist"))
+
+    return encode(distances(items, items, key, vector, metric="euclidean", nearest=max(k1, k2)), measured, k1, round(k1 / 2), k2)
+
+
+def overlap(encoded: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, gid, dist: Jaccard distances of encodings, of the rows in queries (i) to all that share a neighbour."""
+    left = encoded.join(queries, "i", "left_semi").select(F.col("i").alias("qid"), "j", F.col("v").alias("a"))
+    right = encoded.select(F.col("i").alias("gid"), "j", F.col("v").alias("b"))
+    low = left.join(right, "j").groupBy("qid", "gid").agg(F.sum(F.least("a", "b")).alias("m"))
+    return low.select("qid", "gid", F.greatest(F.lit(0.0), 1 - F.col("m") / (2 - F.col("m"))).alias("dist"))
+
+
 def jaccard(items: DataFrame, queries: Column, k1: int = 20, k2: int = 6, key: str = "crop_id", vector: str = "embedding") -> DataFrame:
     """qid, gid, dist: Jaccard distance of encodings for the items that satisfy the condition `queries` against all;
     pairs without a common neighbour, whose distance is 1, have no row."""
-    e = encodings(items, k1, k2, key, vector)
-    q = items.where(queries).select(F.col(key).alias("i"))
-    left = e.join(q, "i", "left_semi").select(F.col("i").alias("qid"), "j", F.col("v").alias("a"))
-    right = e.select(F.col("i").alias("gid"), "j", F.col("v").alias("b"))
-    low = left.join(right, "j").groupBy("qid", "gid").agg(F.sum(F.least("a", "b")).alias("m"))
-    return low.select("qid", "gid", F.greatest(F.lit(0.0), 1 - F.col("m") / (2 - F.col("m"))).alias("dist"))
+    return overlap(encodings(items, k1, k2, key, vector), items.where(queries).select(F.col(key).alias("i")))
+
+
+def rerank_given(dist: DataFrame, queries: DataFrame, k1: int = 20, k2: int = 6, weight: float = 0.3) -> DataFrame:
+    """qid, gid, dist: re-ranking of given distances of all items to all (qid, gid, dist), for the rows in queries (qid).
+
+    Distances are squared and divided by the largest of their row, lists have k1 + 1 and round(k1 / 2) + 1 places, and the
+    result is the Jaccard distance times 1 - weight plus the scaled distance times weight. Rows without a positive distance
+    keep distance zero.
+    """
+    top = dist.groupBy("qid").agg(F.max(F.col("dist") * F.col("dist")).alias("top"))
+    scaled = dist.join(top, "qid").select("qid", "gid", F.when(F.col("top") > 0, F.col("dist") * F.col("dist") / F.col("top")).otherwise(0.0).alias("dist"))
+    measured = lambda pairs: pairs.join(scaled.select(F.col("qid").alias("i"), F.col("gid").alias("j"), "dist"), ["i", "j"])
+    encoded = encode(_first(scaled, max(k1 + 1, k2)), measured, k1 + 1, round(k1 / 2) + 1, k2)
+    return blend(scaled.join(queries, "qid", "left_semi"), overlap(encoded, queries.select(F.col("qid").alias("i"))), weight)
+
+
+def self_recall(items: DataFrame, ks: Sequence[int], key: str = "crop_id", label: str = "object_id") -> DataFrame:
+    """k, recall in per cent: items whose k nearest others hold one of their own label. A row is not its own neighbour; an
+    item of a label that no other has counts as a miss."""
+    near = distances(items, items, key, nearest=max(ks) + 1).where("qid <> gid")
+    w = Window.partitionBy("qid").orderBy("dist", "gid")
+    near = near.withColumn("rank", F.row_number().over(w))
+    name = lambda a: items.select(F.col(key).alias(f"{a}id"), F.col(label).alias(f"{a}_label"))
+    hit = near.join(name("q"), "qid").join(name("g"), "gid").groupBy("qid").agg(F.min(F.when(F.col("q_label") == F.col("g_label"), F.col("rank"))).alias("first"))
+    found = hit.agg(F.count("*").alias("n"), *(F.sum(F.when(F.col("first") <= k, 1).otherwise(0)).alias(f"k{k}") for k in ks))
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (F.col(f"k{k}") / F.col("n") * 100).alias("recall")) for k in ks))).alias("e")
+    return found.select(each).select("e.k", F.round("e.recall", 2).alias("recall"))
+
+
+#: The ridge of the reconstruction, and the distance of pairs that are not reconstructed.
+RIDGE, UNSEEN = 0.001, 100.0
+
+
+def reconstruction(near: DataFrame, queries: DataFrame, gallery: DataFrame, ridge: float = RIDGE) -> DataFrame:
+    """qid, gid, patch_dist for the pairs in near: how far each query patch lies from its ridge reconstruction out of the
+    gallery row's patches, summed with the query's patch weights.
+
+    queries: qid, patches (array of vectors), weights; gallery: gid, patches. A pair is one row with both sides' patches, so a
+    task holds a batch of pairs whatever the row's popularity. Null, empty or ragged patches are errors.
+    """
+    pairs = near.select("qid", "gid").join(queries.select("qid", F.col("patches").alias("q"), F.col("weights").alias("w")), "qid").join(gallery.select("gid", F.col("patches").alias("g")), "gid")
+
+    def solve(batches):
+        for b in batches:
+            out = np.empty(b.num_rows)
+            for k, (q, g, w) in enumerate(zip(b.column("q").to_pylist(), b.column("g").to_pylist(), b.column("w").to_pylist())):
+                if not q or not g or w is None or len(w) != len(q):
+                    raise ValueError("a row has no patches, or not a weight for each")
+                q, g = np.array(q, float).T, np.array(g, float).T
+                rest = g @ np.linalg.solve(g.T @ g + ridge * np.eye(g.shape[1]), g.T @ q) - q
+                out[k] = np.sqrt((rest * rest).sum(axis=0)) @ np.array(w, float)
+            yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("gid"), pa.array(out)], ["qid", "gid", "patch_dist"])
+
+    return pairs.mapInArrow(solve, "qid long, gid long, patch_dist double")
+
+
+def sweep(pairs: DataFrame, steps: int = 101) -> DataFrame:
+    """step, blend, rank1 in per cent, chosen: (1 - blend) * dist + blend * patch_dist for blends from 0 to 1.
+
+    pairs: qid, gid, dist, patch_dist, match. Only the nearest row matters, so each blend is one minimum by query, combined
+    before the shuffle; pairs are not multiplied. Queries without a match are left out; of equal blends the first is chosen.
+    """
+    nearest = lambda k: F.min(F.struct(F.round((1 - F.lit(0.01 * k)) * F.col("dist") + F.lit(0.01 * k) * F.col("patch_dist"), 9).alias("d"), "gid", "match"))
+    best = pairs.groupBy("qid").agg(F.max("match").alias("any"), *(nearest(k).alias(f"b{k}") for k in range(steps))).where("any")
+    total = best.agg(F.count("*").alias("n"), *(F.sum(F.col(f"b{k}.match").cast("int")).alias(f"h{k}") for k in range(steps)))
+    each = total.select(F.explode(F.array(*(F.struct(F.lit(k).alias("step"), (F.col(f"h{k}") / F.col("n") * 100).alias("rank1")) for k in range(steps)))).alias("e"))
+    top = each.agg(F.max(F.struct("e.rank1", (-F.col("e.step")).alias("s"))).alias("t"))
+    return each.crossJoin(F.broadcast(top)).select("e.step", (F.col("e.step") * 0.01).alias("blend"), "e.rank1", (F.col("e.step") == -F.col("t.s")).alias("chosen"))
 
 
 def blend(dist: DataFrame, jaccard_dist: DataFrame, weight: float) -> DataFrame:
