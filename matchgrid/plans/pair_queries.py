@@ -326,11 +326,11 @@ def per_object(spark, sf_dir):
 @query(
     "unit_spread",
     f"""WITH {PAIRS_SQL}, {edges_sql('true', ('unit',))}, a AS ({_AUC.format(by='unit,', part='PARTITION BY unit', group='GROUP BY unit')})
-SELECT count(auc) AS n, median(auc) AS median, min(auc) AS min, max(auc) AS max FROM a""",
+SELECT count(auc) AS n, round(avg(auc), 9) AS mean, round(stddev_samp(auc), 9) AS std, median(auc) AS median, min(auc) AS min, max(auc) AS max FROM a""",
 )
 def unit_spread(spark, sf_dir):
     a = curves.auc(hist(spark, sf_dir, "unit"), ["unit"])
-    return a.agg(F.count("auc").alias("n"), F.median("auc").alias("median"), F.min("auc").alias("min"), F.max("auc").alias("max"))
+    return a.agg(F.count("auc").alias("n"), F.round(F.avg("auc"), 9).alias("mean"), F.round(F.stddev_samp("auc"), 9).alias("std"), F.median("auc").alias("median"), F.min("auc").alias("min"), F.max("auc").alias("max"))
 
 
 # Threshold protocols: the key of the histogram that a unit's thresholds come from.

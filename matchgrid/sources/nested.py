@@ -29,6 +29,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return docs.withColumn("folder", F.element_at(F.split(F.input_file_name(), "/"), -2))
 
 
+def parse_documents(documents: DataFrame, column: str = "document") -> DataFrame:
+    """The same from rows with a document's text and its folder; a text that is no such document is an error."""
+    return documents.select(F.from_json(F.col(column), SCHEMA, {"mode": "FAILFAST"}).alias("d"), "folder").select("d.*", "folder")
+
+
 def visible(keypoints: Column) -> Column:
     """Visibility of each keypoint: as given, else from the scores; null where neither is known."""
     least = F.coalesce(keypoints["visibility_threshold"], F.lit(VISIBLE_FROM))

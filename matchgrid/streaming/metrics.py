@@ -62,6 +62,21 @@ def histogram(events: DataFrame, bins: int) -> DataFrame:
     return events.join(r, "name").groupBy("name", at.cast("int").alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram_sums(events: DataFrame, bins: int) -> DataFrame:
+    """As histogram, with the sum and the sum of squares of each bin's values, in whole millionths."""
+    r = events.groupBy("name").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    at = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
+    m = F.round(F.col("value") * 1_000_000).cast("decimal(19,0)")
+    by = events.join(r, "name").groupBy("name", at.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.sum(m).alias("s"), F.sum(m * m).alias("q"))
+    return by.select("name", "bin", "n", (F.col("s").cast("double") / 1e6).alias("sum"), (F.col("q").cast("double") / 1e12).alias("sum_squares"))
+
+
+def eta(events: DataFrame, total: DataFrame, last: int) -> DataFrame:
+    """name, iteration, eta: the median of the last durations times the iterations that are left. total: one row."""
+    w = Window.partitionBy("name").orderBy("iteration").rowsBetween(1 - last, 0)
+    return events.crossJoin(F.broadcast(total)).select("name", "iteration", "value", "total", F.collect_list("value").over(w).alias("_values")).select("name", "iteration", (_middle(F.array_sort("_values")) * (F.col("total") - F.col("iteration") - 1)).alias("eta"))
+
+
 def running_best(events: DataFrame, start: float = -1.0) -> DataFrame:
     """Events whose value is above all values before them, and above start."""
     before = Window.partitionBy("name").orderBy("iteration").rowsBetween(Window.unboundedPreceding, -1)
