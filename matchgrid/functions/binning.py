@@ -52,3 +52,9 @@ def edge(k: Column, bins: int) -> Column:
 def point_name(value: float, fixed: bool = False) -> str:
     """An operating point's name: a share of false accepts in percent, or a fixed threshold."""
     return f"th{value:g}" if fixed else f"{value * 100:g}pct"
+
+
+def operating_points(targets: Sequence[float] = FAR_TARGETS, fixed: Sequence[float] = FIXED_THRESHOLDS) -> list[tuple[int, str, float, bool]]:
+    """place, name, value and whether it is a fixed threshold: shares of false accepts from the strictest on, then thresholds."""
+    points = [(point_name(v), v, False) for v in sorted(targets)] + [(point_name(v, True), v, True) for v in sorted(fixed)]
+    return [(k, *p) for k, p in enumerate(points)]

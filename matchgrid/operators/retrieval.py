@@ -137,9 +137,12 @@ def tpr_at(curve: DataFrame, targets: Sequence[float]) -> DataFrame:
     return near.select("target", "m.tpr")
 
 
-def expand_queries(items: DataFrame, k: int, alpha: float, key: str = "crop_id", vector: str = "embedding") -> DataFrame:
+def expand_queries(items: DataFrame, k: int, alpha: float, key: str = "crop_id", vector: str = "embedding", times: int = 1) -> DataFrame:
     """Each vector replaced by the mean of its k nearest (itself among them) weighted by similarity to the power alpha,
-    at unit length. A negative similarity under a fractional power counts as nothing."""
+    at unit length; as often as said, each time among the vectors that the last time gave. A negative similarity under a
+    fractional power counts as nothing."""
+    for _ in range(times - 1):
+        items = expand_queries(items, k, alpha, key, vector)
     near = distances(items, items, key, vector, nearest=k).withColumn("sim", 1 - F.col("dist"))
     weight = F.when((F.col("sim") < 0) & F.lit(alpha != int(alpha)), 0.0).otherwise(F.pow("sim", F.lit(float(alpha))))
     v = items.select(F.col(key).alias("gid"), F.col(vector).alias("v"))

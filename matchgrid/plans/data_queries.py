@@ -174,14 +174,14 @@ def attributes(spark, sf_dir):
 _MEAN = "sum(CAST(round({} * 1e12) AS BIGINT))::BIGINT / count(*) / 1e12"
 
 
-@query(
-    "attr_metrics",
-    f"""WITH {ATTR}, x AS (SELECT *, y = 1 AS t, score >= 0.5 AS p FROM rows),
+ATTR_METRICS_SQL = f"""WITH {ATTR}, x AS (SELECT *, y = 1 AS t, score >= 0.5 AS p FROM rows),
 a AS (SELECT attr, (count(*) FILTER (t AND p) / (count(*) FILTER (t) + 1e-20) + count(*) FILTER (NOT t AND NOT p) / (count(*) FILTER (NOT t) + 1e-20)) / 2 AS ma FROM x GROUP BY attr),
 r AS (SELECT row_id, count(*) FILTER (t AND p) / (count(*) FILTER (t OR p) + 1e-20) AS acc, count(*) FILTER (t AND p) / (count(*) FILTER (p) + 1e-20) AS prec, count(*) FILTER (t AND p) / (count(*) FILTER (t) + 1e-20) AS rec FROM x GROUP BY row_id),
 m AS (SELECT (SELECT {_MEAN.format('ma')} FROM a) AS ma, {_MEAN.format('acc')} AS acc, {_MEAN.format('prec')} AS prec, {_MEAN.format('rec')} AS rec FROM r)
-SELECT *, 2 * prec * rec / (prec + rec + 1e-20) AS f1 FROM m""",
-)
+SELECT *, 2 * prec * rec / (prec + rec + 1e-20) AS f1 FROM m"""
+
+
+@query("attr_metrics", ATTR_METRICS_SQL)
 def attr_metrics(spark, sf_dir):
     return E.attribute_metrics(attributes(spark, sf_dir))
 

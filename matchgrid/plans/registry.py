@@ -42,4 +42,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from matchgrid.plans import data_queries, layout_queries, pair_queries, ranking_queries, report_queries, retrieval_queries, site_queries  # noqa: F401
+    from matchgrid.plans import data_queries, layout_queries, pair_queries, ranking_queries, report_queries, retrieval_queries, site_queries, store_queries  # noqa: F401
