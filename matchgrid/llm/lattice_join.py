@@ -1,13 +1,14 @@
 """Embedding near-dedup by lattice hashing.
 
-Each of TABLES tables projects a vector at random onto eight dimensions and decodes the result, scaled and shifted, to
-the nearest point of the E8 lattice. A vector lives in its own cell and probes the PROBES neighbouring cells that its
-residual points to. Two vectors meet if one's cell is among the other's cells in some table; pairs that meet are
-verified by cosine in double precision. At the scale chosen, one table finds 93 % of the pairs at cosine 0.98 exactly,
-four miss about two in a hundred thousand, fewer of closer pairs.
-
-Vectors that are equal, with equal labels, are one class, so copies are never expanded. Cells with many classes are
-dealt out as pairs of chunks. Verified pairs are not written: a task adds up, for each class, the vectors that it is
+Each of TABLES tables projects a vector at random onto BLOCKS times eight dimensions and decodes each eight, scaled and
+shifted, to the nearest point of the E8 lattice; the points together are the vector's cell. A vector lives in its own cell and
+probes the PROBES neighbouring cells that its residuals point to. Two vectors meet if one's cell is among the other's cells in
+some table; pairs that meet are verified by cosine in double precision. At the scale chosen, one table finds 80 % of the pairs
+at cosine 0.98 exactly, seven miss about one in a hundred thousand, fewer of closer pairs; of unrelated vectors of 64 components
+a table brings together about six in a hundred thousand pairs.
+
+Vectors that are equal, with equal labels, are one class, known by a 128-bit hash, so copies are never expanded. Cells that
+hold one class only are dropped before any vector is sent; cells with many classes are dealt out as pairs of chunks. Verified pairs are not written: a task adds up, for each class, the vectors that it is
 linked with, counting a pair only in the least key that both share, and keeps a spanning forest of the links.
 
 Defined results: vectors that are null, zero, empty, or hold null or non-finite components, and vectors whose label is
@@ -33,7 +34,7 @@ from matchgrid.llm.components import components, forest, roots
 from matchgrid.llm.ngram_join import _mixed, _pairs_of_lists
 
 LEAST = 0.98
-TABLES, PROBES, SCALE, SEED = 4, 3, 0.5, 20240607
+TABLES, BLOCKS, PROBES, SCALE, SEED = 7, 2, 3, 0.7, 20240607
 #: Classes in a chunk of a long cell, (class, cell) rows in a bucket.
 CHUNK, BUCKET_ROWS = 512, 20_000
 
@@ -69,29 +70,64 @@ def neighbours() -> np.ndarray:
 
 @cache
 def _table(dim: int, t: int) -> tuple[np.ndarray, np.ndarray]:
-    """Projection (orthonormal columns where dim allows it) and shift of a table."""
+    """Projection (orthonormal columns where dim allows it) and shift of a table. In each block a vector has, in the mean, the
+    length it has itself, over SCALE."""
     rng = np.random.default_rng([SEED, dim, t])
-    g = rng.normal(size=(dim, 8))
-    g = np.linalg.qr(g)[0] * math.sqrt(dim / 64 * 8) if dim >= 8 else g / math.sqrt(8)
-    return g / SCALE, rng.random(8)
+    g = rng.normal(size=(dim, 8 * BLOCKS))
+    g = np.linalg.qr(g)[0] * math.sqrt(dim / 8) if dim >= 8 * BLOCKS else g / math.sqrt(8)
+    return g / SCALE, rng.random(8 * BLOCKS)
+
+
+def _projected(unit: np.ndarray) -> np.ndarray:
+    """All tables' projections side by side, on a grid of 2 ** -30, on which all that follows is exact. Sums go over the
+    components in their order, whatever rows stand together, so a vector has the same cells in every task."""
+    n, dim = unit.shape
+    g = np.concatenate([_table(dim, t)[0] for t in range(TABLES)], axis=1)
+    shift = np.concatenate([_table(dim, t)[1] for t in range(TABLES)])
+    out = np.empty((n, g.shape[1]))
+    for k in range(0, n, 512):
+        part = np.zeros((len(unit[k : k + 512]), g.shape[1])) + shift
+        for j in range(dim):
+            part += unit[k : k + 512, j : j + 1] * g[j]
+        out[k : k + 512] = np.rint(part * 2.0**30) / 2.0**30
+    return out
+
+
+#: A table's cells by what each block does: 0 is its own lattice point, k the k-th nearest of the neighbours.
+_MOVES = np.array(list(itertools.product(range(PROBES + 1), repeat=BLOCKS)))
 
 
 def cells(unit: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """Keys (rows x TABLES x (1 + PROBES), uint64) of unit vectors; the first of each table is the vector's own cell."""
+    """Keys (rows x TABLES x (1 + PROBES), uint64) of unit vectors; the first of each table is the vector's own cell, the others
+    the cells that are cheapest to reach by moving the blocks to neighbouring points."""
     n, dim = unit.shape
     out = np.empty((n, TABLES, 1 + PROBES), np.uint64)
     near = neighbours()
+    projected = _projected(unit)
     for t in range(TABLES):
-        g, shift = _table(dim, t)
-        x = unit @ g + shift
-        own = nearest_e8(x)
-        closest = np.argsort(-((x - own) @ near.T), axis=1, kind="stable")[:, :PROBES]
-        points = np.concatenate([own[:, None, :], own[:, None, :] + near[closest]], axis=1)
-        h = np.full((n, 1 + PROBES), (dim * TABLES + t) & 0xFFFFFFFF, np.uint64)
-        h = _mixed(h + label.astype(np.int64).view(np.uint64)[:, None])
-        for k in range(8):
-            h = _mixed(h * np.uint64(3) + np.rint(2 * points[:, :, k]).astype(np.int64).view(np.uint64))
-        out[:, t] = h
+        x = projected[:, 8 * BLOCKS * t : 8 * BLOCKS * (t + 1)]
+        hashes, costs = np.empty((n, BLOCKS, 1 + PROBES), np.uint64), np.zeros((n, BLOCKS, 1 + PROBES))
+        for b in range(BLOCKS):
+            y = x[:, 8 * b : 8 * b + 8]
+            own = nearest_e8(y)
+            towards = (y - own) @ near.T
+            closest = np.argpartition(-towards, PROBES, axis=1)[:, :PROBES]
+            gain = np.take_along_axis(towards, closest, 1)
+            order = np.lexsort((closest, -gain), axis=1)
+            closest, gain = np.take_along_axis(closest, order, 1), np.take_along_axis(gain, order, 1)
+            costs[:, b, 1:] = 2 - 2 * gain  # neighbours have the squared length two
+            points = np.concatenate([own[:, None, :], own[:, None, :] + near[closest]], axis=1)
+            h = np.full((n, 1 + PROBES), (b + 1) & 0xFFFFFFFF, np.uint64)
+            for k in range(8):
+                h = _mixed(h * np.uint64(3) + np.rint(2 * points[:, :, k]).astype(np.int64).view(np.uint64))
+            hashes[:, b] = h
+        seed = _mixed(np.full(n, (dim * TABLES + t) & 0xFFFFFFFF, np.uint64) + label.astype(np.int64).view(np.uint64))
+        key, cost = np.repeat(seed[:, None], len(_MOVES), 1), np.zeros((n, len(_MOVES)))
+        for b in range(BLOCKS):
+            key = _mixed(key * np.uint64(5) + hashes[:, b][:, _MOVES[:, b]])
+            cost += costs[:, b][:, _MOVES[:, b]]
+        cost[:, 0] = -1  # the vector's own cell stays first
+        out[:, t] = np.take_along_axis(key, np.argsort(cost, axis=1, kind="stable")[:, : 1 + PROBES], 1)
     return out
 
 
@@ -116,8 +152,8 @@ def join(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", labe
         & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     )
     rows = rows.withColumn("fine", F.coalesce(fine, F.lit(False)))
-    good = rows.where("fine").select("id", "label", "vec")
-    classes = good.groupBy("label", "vec").agg(F.min("id").alias("min_id"), F.count("*").alias("copies"))
+    good = rows.where("fine").select("id", "label", "vec", F.xxhash64("label", "vec").alias("h1"), F.xxhash64(F.lit(1), "vec", "label").alias("h2"))
+    classes = good.groupBy("h1", "h2").agg(F.first("label").alias("label"), F.first("vec").alias("vec"), F.min("id").alias("min_id"), F.count("*").alias("copies"))
     classes = storage.written(classes.withColumn("cid", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")), "vectors", tag=tag)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +179,7 @@ def join(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", labe
     )
     buckets = max(8, math.ceil((placed.count() * TABLES * (1 + PROBES)) / BUCKET_ROWS))
     units = units.select("cid", "key", "home", "chunk", "ij.i", "ij.j", F.pmod(F.xxhash64("key", "ij"), F.lit(buckets)).cast("int").alias("bucket"))
-    full = units.join(classes.select("cid", "vec", "copies", "dim"), "cid").join(placed, "cid")
+    full = units.join(classes.select("cid", "label", "vec", "copies", "dim"), "cid")
 
     def meet(table: pa.Table) -> pa.Table:
         links: dict[int, int] = {}
@@ -155,16 +191,19 @@ def join(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", labe
             order = np.lexsort((cid, j, i, key))
             key, i, j, chunk, cid, home, copies = (x[order] for x in (key, i, j, chunk, cid, home, copies))
             unit = _units(_doubles(part.column("vec").combine_chunks(), int(dim)))[order]
-            keys = part.column("keys").combine_chunks().flatten().to_numpy().reshape(len(key), TABLES, 1 + PROBES)[order]
+            label = part.column("label").to_numpy()[order]
             first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
             length = np.diff(np.concatenate([first, [len(key)]]))
             for a, b in _linked(first, length, unit, home, chunk, i == j):
                 for k in range(0, len(a), 50_000):
                     x, y = a[k : k + 50_000], b[k : k + 50_000]
-                    own_x, own_y = keys[x][:, :, 0], keys[y][:, :, 0]
+                    linked, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    keys = cells(unit[linked], label[linked]).view(np.int64)
+                    ix, iy = at[: len(x)], at[len(x) :]
+                    own_x, own_y = keys[ix][:, :, 0], keys[iy][:, :, 0]
                     top = np.iinfo(np.int64).max
                     least = np.minimum(
-                        np.where((keys[x] == own_y[:, :, None]).any(axis=2), own_y, top).min(axis=1), np.where((keys[y] == own_x[:, :, None]).any(axis=2), own_x, top).min(axis=1)
+                        np.where((keys[ix] == own_y[:, :, None]).any(axis=2), own_y, top).min(axis=1), np.where((keys[iy] == own_x[:, :, None]).any(axis=2), own_x, top).min(axis=1)
                     )
                     mine = least == key[x]
                     for p, q in ((x[mine], y[mine]), (y[mine], x[mine])):
@@ -182,8 +221,8 @@ def join(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", labe
     comps = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")), tag)
     labelled = classes.join(sums, "cid", "left").join(comps.select(F.col("y").alias("cid"), F.col("x").alias("comp")), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = labelled.groupBy("comp").agg(F.min("min_id").alias("component"))
-    by_class = labelled.join(least, "comp").select("label", "vec", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
-    linked = good.join(by_class, ["label", "vec"]).select("id", "links", "component")
+    by_class = labelled.join(least, "comp").select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
+    linked = good.select("id", "h1", "h2").join(by_class, ["h1", "h2"]).select("id", "links", "component")
     alone = rows.where("not fine").select("id", F.lit(0).cast("long").alias("links"), F.col("id").alias("component"))
     out = linked.unionByName(alone)
     return out.select(F.col("id").alias("vec_id"), F.col("links").alias("n_links"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept"))
