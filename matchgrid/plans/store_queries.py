@@ -146,14 +146,19 @@ def dense_cells(spark, sf_dir):
     return batches.dense(cells, ["unit", "same"], "cell", 840, "n")
 
 
-_HARD = "row_number() OVER (PARTITION BY unit, same ORDER BY CASE WHEN same THEN s ELSE -s END, a, b)"
+_HARD = "row_number() OVER (PARTITION BY mode, unit, same ORDER BY CASE WHEN same THEN s ELSE -s END, a, b)"
 
 
-@query("unit_hardest", f"WITH {PAIRS_SQL} SELECT unit, same, a, b, s, {_HARD} AS rank FROM pairs WHERE pos_bin = 0 QUALIFY {_HARD} <= 200")
+@query(
+    "unit_hardest",
+    f"WITH {PAIRS_SQL}, x AS (SELECT 'plain' AS mode, unit, same, a, b, s FROM pairs UNION ALL SELECT 'near', unit, same, a, b, s FROM pairs WHERE pos_bin <= 1) SELECT mode, unit, same, a, b, s, {_HARD} AS rank FROM x QUALIFY {_HARD} <= 200",
+)
 def unit_hardest(spark, sf_dir):
-    """Of each unit the 200 most alike pairs of different objects and the 200 least alike of one, near each other."""
-    p = described(spark, sf_dir, True).where("pos_bin = 0").select("unit", "same", "a", "b", "s")
-    w = Window.partitionBy("unit", "same").orderBy(F.when(F.col("same"), F.col("s")).otherwise(-F.col("s")), "a", "b")
+    """Of each unit the 200 most alike pairs of different objects and the 200 least alike of one: of all, and of those near each
+    other (the second position bin too, as the made positions leave the first one empty)."""
+    near = F.when(F.col("pos_bin") <= 1, F.array(F.lit("plain"), F.lit("near"))).otherwise(F.array(F.lit("plain")))
+    p = described(spark, sf_dir, True).select(F.explode(near).alias("mode"), "unit", "same", "a", "b", "s")
+    w = Window.partitionBy("mode", "unit", "same").orderBy(F.when(F.col("same"), F.col("s")).otherwise(-F.col("s")), "a", "b")
     return p.withColumn("rank", F.row_number().over(w)).where("rank <= 200")
 
 
