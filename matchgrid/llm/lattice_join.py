@@ -194,24 +194,24 @@ def join(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", labe
             label = part.column("label").to_numpy()[order]
             first = np.flatnonzero(np.concatenate([[True], (np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)]))
             length = np.diff(np.concatenate([first, [len(key)]]))
-            for a, b in _linked(first, length, unit, home, chunk, i == j):
-                for k in range(0, len(a), 50_000):
-                    x, y = a[k : k + 50_000], b[k : k + 50_000]
-                    linked, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-                    keys = cells(unit[linked], label[linked]).view(np.int64)
-                    ix, iy = at[: len(x)], at[len(x) :]
-                    own_x, own_y = keys[ix][:, :, 0], keys[iy][:, :, 0]
-                    top = np.iinfo(np.int64).max
-                    least = np.minimum(
-                        np.where((keys[ix] == own_y[:, :, None]).any(axis=2), own_y, top).min(axis=1), np.where((keys[iy] == own_x[:, :, None]).any(axis=2), own_x, top).min(axis=1)
-                    )
-                    mine = least == key[x]
-                    for p, q in ((x[mine], y[mine]), (y[mine], x[mine])):
-                        who, at = np.unique(cid[p], return_inverse=True)
-                        for c, n in zip(who.tolist(), np.bincount(at, weights=copies[q]).astype(np.int64).tolist(), strict=True):
-                            links[c] = links.get(c, 0) + n
-                    for p, q in zip(cid[x[mine]].tolist(), cid[y[mine]].tolist(), strict=True):
-                        forest(trees, p, q)
+            who, row, at = np.unique(cid, return_index=True, return_inverse=True)
+            keys, known = np.empty((len(who), TABLES, 1 + PROBES), np.int64), np.zeros(len(who), bool)
+            for x, y in _gathered(_linked(first, length, unit, home, chunk, i == j), 50_000):
+                p, q = at[x], at[y]
+                new = np.unique(np.concatenate([p, q]))
+                new = new[~known[new]]
+                keys[new], known[new] = cells(unit[row[new]], label[row[new]]).view(np.int64), True
+                own_p, own_q, top = keys[p][:, :, 0], keys[q][:, :, 0], np.iinfo(np.int64).max
+                least = np.minimum(
+                    np.where((keys[p] == own_q[:, :, None]).any(axis=2), own_q, top).min(axis=1), np.where((keys[q] == own_p[:, :, None]).any(axis=2), own_p, top).min(axis=1)
+                )
+                mine = least == key[x]
+                p, q = p[mine], q[mine]
+                n = np.bincount(np.concatenate([p, q]), weights=np.concatenate([copies[y[mine]], copies[x[mine]]]), minlength=len(who)).astype(np.int64)
+                for c in np.flatnonzero(n).tolist():
+                    links[int(who[c])] = links.get(int(who[c]), 0) + int(n[c])
+                for c, d in zip(who[p].tolist(), who[q].tolist(), strict=True):
+                    forest(trees, c, d)
         root = dict(roots(trees))
         ids = list(links)
         return pa.table({"cid": pa.array(ids, pa.int64()), "n": pa.array([links[c] for c in ids], pa.int64()), "root": pa.array([root.get(c, c) for c in ids], pa.int64())})
@@ -250,6 +250,21 @@ def _linked(first: np.ndarray, length: np.ndarray, unit: np.ndarray, home: np.nd
             yield x + s, y + s
 
 
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs in pieces of about the size, none of them much longer."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
+    for a, b in pairs:
+        for k in range(0, len(a), size):
+            held.append((a[k : k + size], b[k : k + size]))
+            n += len(held[-1][0])
+            if n >= size:
+                yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+                held, n = [], 0
+    if held:
+        yield np.concatenate([x for x, _ in held]), np.concatenate([y for _, y in held])
+
+
 def op5_lattice_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
