@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.functions.shared import kept
 from matchgrid.operators.evaluators import SCALE, whole
 from matchgrid.operators.sampling import draw
 
@@ -44,7 +45,7 @@ def pair_probe(rows: DataFrame, n: int, unit: str, track: str, key: str, seed: i
 def released(results: DataFrame, sequence: str, arrived: str) -> DataFrame:
     """Adds released: when a result leaves a buffer that gives results out in sequence, which is when the last of those before it
     and itself has arrived. Ranges of the sequence are looked at side by side, then shifted by the ranges before them."""
-    rows = results.repartitionByRange(F.col(sequence)).withColumn("_part", F.spark_partition_id())
+    rows = kept(results.repartitionByRange(F.col(sequence)).withColumn("_part", F.spark_partition_id()), "released")
     parts = rows.groupBy("_part").agg(F.max(arrived).alias("_top"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = parts.select("_part", F.max("_top").over(before).alias("_before"))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchgrid.functions.shared import kept
+
 
 def draw(seed: int, *keys: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
@@ -14,19 +16,20 @@ def draw(seed: int, *keys: str) -> Column:
 
 def numbered(df: DataFrame, *order: Column, to: str = "pos") -> DataFrame:
     """Positions from zero in a total order, without sorting everything in one task: range-partitioned, then shifted by
-    what the partitions before hold."""
+    what the partitions before hold. The partitions are written before they are counted, as their bounds are drawn."""
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     rows = rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_in", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = kept(rows.drop("_id"), "numbered")
     sizes = rows.groupBy("_part").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return rows.join(starts, "_part").withColumn(to, F.col("_start") + F.col("_in")).drop("_id", "_part", "_in", "_start")
+    return rows.join(starts, "_part").withColumn(to, F.col("_start") + F.col("_in")).drop("_part", "_in", "_start")
 
 
 def running(df: DataFrame, order: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """Running sums cum_<column> and positions from zero in a total order: sums inside range partitions, shifted by those of
-    the partitions before."""
-    rows = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    the partitions before. The partitions are written before they are summed, as their bounds are drawn."""
+    rows = kept(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "running")
     parts = rows.groupBy("_part").agg(F.count("*").alias("_rows"), *(F.sum(c).alias(f"_sum_{c}") for c in columns))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
     starts = parts.select("_part", *(F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c) for c in ("_rows", *(f"_sum_{c}" for c in columns))))

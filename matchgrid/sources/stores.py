@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Sequence
 from typing import Any
@@ -11,24 +10,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from matchgrid.functions.shared import scratch
 from matchgrid.operators.sampling import numbered
 
-#: Folders of our own, by application, where the session names no shared one.
-_own: dict[str, str] = {}
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir. Where that is unset, in a folder of our own in local mode, where all
-    tasks run on this machine; on a cluster that is an error."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or _own.get(sc.applicationId)
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        found = _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="matchgrid-stores-")
-    return f"{found}/{name}-{uuid.uuid4().hex}"
-
-
 # Units
 
 
