@@ -1,9 +1,11 @@
 """What only shows on larger tables: positions over drawn range bounds, rounding at ties, tasks that hold no pair rows."""
 
+import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from matchgrid.operators import batches, sampling
+from matchgrid.functions.vectors import decimals
+from matchgrid.operators import batches, pairs, retrieval, sampling
 
 
 def test_positions_hold_where_range_bounds_are_drawn_again(spark):
@@ -19,3 +21,24 @@ def test_released_holds_where_range_bounds_are_drawn_again(spark):
     rows = spark.range(0, 100_000, 1, 8).select(((F.col("id") * 7919) % 100_003).alias("seq"), F.col("id").alias("arrived"), F.sha2(F.col("id").cast("string"), 256).alias("text"))
     got = batches.released(rows, "seq", "arrived").toPandas().sort_values("seq")
     assert (got["released"].to_numpy() == np.maximum.accumulate(got["arrived"].to_numpy())).all()
+
+
+def test_distances_are_sql_bit_for_bit(spark):
+    x = np.random.default_rng(3).normal(size=(800, 16)).astype(np.float32) * 30
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "crop_id long, embedding array<float>")
+    frame = rows.toPandas()  # noqa: F841, read by DuckDB
+    want = duckdb.sql("SELECT a.crop_id, b.crop_id, round(list_dot_product(a.e, a.e) + list_dot_product(b.e, b.e) - 2 * list_dot_product(a.e, b.e), 9) FROM (SELECT crop_id, embedding::DOUBLE[] AS e FROM frame) a, (SELECT crop_id, embedding::DOUBLE[] AS e FROM frame) b ORDER BY ALL").fetchnumpy()
+    got = retrieval.distances(rows, rows, metric="euclidean").toPandas().sort_values(["qid", "gid"])["dist"].to_numpy()
+    assert (got == list(want.values())[2]).all()
+
+
+def test_vectors_without_length_are_like_none():
+    x, y = np.array([[2.0**-10, 0.0]]), np.array([[3.0, 0.0]])
+    assert pairs.products(x, y, "similarity")[0, 0] == 1.0 and pairs.products(x * 0, y, "cosine")[0, 0] == 1.0
+
+
+def test_decimals_are_sqls(spark):
+    con = duckdb.connect()
+    want = [r[0] for r in con.execute("SELECT round(0.7::DOUBLE + (k * 500)::DOUBLE / 1e9::DOUBLE * 0.3::DOUBLE, 7) FROM range(100000) t(k) ORDER BY k").fetchall()]
+    x = F.lit(0.7) + (F.col("id") * 500).cast("double") / F.lit(1e9) * F.lit(0.3)
+    assert [r[0] for r in spark.range(100_000).orderBy("id").select(decimals(x, 7)).collect()] == want
