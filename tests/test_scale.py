@@ -42,3 +42,64 @@ def test_decimals_are_sqls(spark):
     want = [r[0] for r in con.execute("SELECT round(0.7::DOUBLE + (k * 500)::DOUBLE / 1e9::DOUBLE * 0.3::DOUBLE, 7) FROM range(100000) t(k) ORDER BY k").fetchall()]
     x = F.lit(0.7) + (F.col("id") * 500).cast("double") / F.lit(1e9) * F.lit(0.3)
     assert [r[0] for r in spark.range(100_000).orderBy("id").select(decimals(x, 7)).collect()] == want
+
+
+def small(spark, n=60):
+    """Crops in two units and sites, with five objects, one row without an object."""
+    rng = np.random.default_rng(5)
+    rows = [(k, k % 4, k % 2, None if k == 7 else k % 5, k % 3, rng.normal(size=4).astype(np.float32).tolist()) for k in range(n)]
+    return spark.createDataFrame(rows, "crop_id long, video_id long, site_id long, object_id long, camid long, embedding array<float>")
+
+
+def forbid(monkeypatch, module, name):
+    def stop(*args, **more):
+        raise AssertionError(f"{name} makes a row for a pair")
+
+    monkeypatch.setattr(module, name, stop)
+
+
+def test_query_profiles_make_no_pair_rows(spark, monkeypatch):
+    c = small(spark)
+    q, g = c.where("crop_id % 5 < 2"), c.where("crop_id % 5 >= 1")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    want = rows(retrieval.per_query(retrieval.labelled(retrieval.distances(q, g), c)).select("qid", "n_match", "first", "ap", "inp"))
+    monkeypatch.setattr(retrieval, "CELLS", 100)
+    assert len(want) > 5 and rows(retrieval.query_profiles(q, g, c).select("qid", "n_match", "first", "ap", "inp")) == want
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "PANEL", 16)
+        assert rows(retrieval.query_profiles(q, g, c).select("qid", "n_match", "first", "ap", "inp")) == want
+    forbid(monkeypatch, retrieval, "distances")
+    assert retrieval.query_profiles(q, g, c).count() == len(want)
+
+
+def test_counts_at_thresholds_make_no_pair_rows(spark, monkeypatch):
+    c = small(spark).where("object_id is not null")
+    p = pairs.with_objects(pairs.similarities(c), c)
+    want = {(r.unit, t): (r.tp, r.p, r.fp, r.n) for t in (0.0, 0.5) for r in p.groupBy("unit").agg(
+        F.sum((F.col("same") & (F.col("s") >= t)).cast("int")).alias("tp"), F.sum(F.col("same").cast("int")).alias("p"), F.sum((~F.col("same") & (F.col("s") >= t)).cast("int")).alias("fp"), F.sum((~F.col("same")).cast("int")).alias("n")).collect()}
+    monkeypatch.setattr(pairs, "BLOCK", 4)
+    forbid(monkeypatch, pairs, "similarities")
+    got = pairs.counts_at(c, {u: [(0.1, 0.0), (0.2, 0.5)] for u in range(4)}).collect()
+    assert {(r.unit, r.threshold): (r.tp, r.n_pos, r.fp, r.n_neg) for r in got} == want
+
+
+def test_queries_of_thresholds_and_medoids_make_no_pair_rows(spark, sf, monkeypatch):
+    from matchgrid.plans import registry
+
+    forbid(monkeypatch, pairs, "similarities")
+    for name in ("thr_site_oracle", "site_gallery_oracle", "object_medoid", "top_pos_neg", "match_index"):
+        assert registry.queries()[name](spark, sf).count() > 0
+
+
+def test_softmax_broadcasts_no_maxima(spark, capsys):
+    from matchgrid.operators import evaluators
+
+    spark.range(1000).selectExpr("id AS row_id", "id % 10 AS class", "id / 7.0D AS logit", "3L AS target").write.mode("overwrite").parquet(path := sampling_path(spark))
+    evaluators.sharded_cross_entropy(spark.read.parquet(path)).explain()
+    assert "Join" not in capsys.readouterr().out
+
+
+def sampling_path(spark):
+    from matchgrid.functions.shared import scratch
+
+    return scratch(spark, "softmax")
