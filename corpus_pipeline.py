@@ -44,7 +44,7 @@ def blank_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str, tag: str = TAG) -> DataFrame:
     """Pieces of documents in sequences, without their ids. A null or empty text is its end id; null sources are one queue."""
-    return packing.pack(docs, tokens.default_path(), tag=tag).drop("ids")
+    return packing.pack(docs, tokens.default_path(), tag=tag, with_ids=False)
 
 
 STAGES = [("toxicity", toxicity), ("exact dedup", exact), ("n-gram Jaccard join", near), ("secret scans", blank_secrets), ("packing", pack)]

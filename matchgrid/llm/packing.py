@@ -21,6 +21,7 @@ each; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -41,6 +42,25 @@ CYCLE = 16
 MAX_QUEUES = 4096
 SHARED = 1024
 END_ID = 1
+#: Documents that a task turns into ids, or cuts, at once: Spark's batches are of 10,000 rows, each beside its ids.
+ROWS = 512
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in slices of ROWS, of which a task holds one beside the batch. Workers are used again, so what earlier tasks
+    of any kind left free in them goes back to the system before and after."""
+    _trim()
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            yield batch.slice(k, ROWS)
+    _trim()
+
+
+def _trim() -> None:
+    """Give free memory of this process back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def _shares(weights: np.ndarray, total: int) -> np.ndarray:
@@ -151,14 +171,15 @@ def _own_queues(parts: DataFrame, targets: dict[str, float] | None) -> list[str
 
 
 def pack(
-    df: DataFrame, vocabulary_path: str, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tag: str = ""
+    df: DataFrame, vocabulary_path: str, targets: dict[str, float] | None = None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", tag: str = "", with_ids: bool = True
 ) -> DataFrame:
-    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, ids (binary, uint32 little-endian)."""
+    """Pieces: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source, and unless told otherwise ids (binary,
+    uint32 little-endian)."""
     spark = df.sparkSession
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of, task, before, row = tokens.byte_encoder(vocabulary_path), TaskContext.get().partitionId(), {}, 0
-        for batch in batches:
+        for batch in _slices(batches):
             keys, sources = batch.column(0), batch.column(2).to_pylist()
             out = {"task": [], "row": [], "source": sources, "id": keys, "before": [], "n": [], "ids": []}
             for name, text in zip(sources, batch.column(1), strict=True):
@@ -191,28 +212,30 @@ def pack(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         placer = Placer(phases)
-        for batch in batches:
+        for batch in _slices(batches):
             out: list[list] = [[] for _ in out_schema]
             for key, name, queue, first, ids in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
                 data = ids.as_buffer()
                 n = len(data) // 4
                 for start, length, position in placer.pieces(place[queue], first, n):
                     piece = bytes(data[4 * start : 4 * (start + length)])
-                    for to, v in zip(out, (key, start, length, zlib.crc32(piece), n, position // SEQUENCE, position % SEQUENCE, name, piece), strict=True):
+                    row = (key, start, length, zlib.crc32(piece), n, position // SEQUENCE, position % SEQUENCE, name, piece)
+                    for to, v in zip(out, row[: len(out)], strict=True):
                         to.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, out_schema, strict=True)], schema=out_schema)
 
     long = pa.int64()
     out_schema = pa.schema(
-        [("doc_id", long), ("start", long), ("length", long), ("ids_crc32", long), ("doc_tokens", long), ("sequence_id", long), ("offset", long), ("source", pa.string()), ("ids", pa.binary())]
+        [("doc_id", long), ("start", long), ("length", long), ("ids_crc32", long), ("doc_tokens", long), ("sequence_id", long), ("offset", long), ("source", pa.string()), *[("ids", pa.binary())] * with_ids]
     )
+    result = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids
     if not sums:
-        return spark.createDataFrame([], "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
+        return spark.createDataFrame([], result)
     placed = done.join(parts, (F.col("task") == F.col("t")) & F.col("source").eqNullSafe(F.col("s")))
     placed = placed.select("id", "source", "q", (F.col("ahead") + F.col("before")).alias("first"), "ids")
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string, ids binary")
+    return placed.mapInArrow(cut, result)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return pack(docs, tokens.default_path()).drop("ids")
+    return pack(docs, tokens.default_path(), with_ids=False)

@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -27,6 +28,14 @@ def test_ids_equal_the_library(library, odd):
         assert ids(r.text).tolist() == library(r.text)
 
 
+def test_packing_works_on_slices_of_batches(spark, odd, monkeypatch):
+    assert [b.num_rows for b in packing._slices(iter([pa.record_batch({"x": range(packing.ROWS * 2 + 5)})]))] == [packing.ROWS, packing.ROWS, 5]
+    rows = lambda df: sorted(df.collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, str(r.source), r.start, r.offset, r.sequence_id))
+    want = rows(packing.pack(odd, tokens.default_path()).drop("ids"))
+    monkeypatch.setattr(packing, "ROWS", 2)
+    assert rows(packing.pack(odd, tokens.default_path(), with_ids=False)) == want
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=60))
 def test_ids_equal_the_library_on_any_text(text):
