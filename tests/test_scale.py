@@ -159,3 +159,16 @@ def test_single_shots_make_no_pair_rows(spark, monkeypatch):
     forbid(monkeypatch, retrieval, "distances")
     monkeypatch.setattr(retrieval, "CELLS", 100)
     assert len(want) > 50 and rows(retrieval.single_shot_ranks(q, g, c, 4)) == want
+
+
+def test_reranking_makes_rows_of_queries_and_gallery_only(spark, monkeypatch):
+    c = small(spark)
+    q, g = c.where("crop_id % 5 < 2"), c.where("crop_id % 5 >= 1")
+    rows = lambda df: {(r.qid, r.gid): round(r.dist, 9) for r in df.collect()}
+    monkeypatch.setattr(retrieval, "BLOCK", 16)
+    with monkeypatch.context() as m:
+        m.setattr(retrieval, "PANEL", 16)
+        want = rows(retrieval.rerank_cosine(c, q, g, 6, 3))
+    forbid(monkeypatch, retrieval, "distances")
+    got = rows(retrieval.rerank_cosine(c, q, g, 6, 3))
+    assert len(got) == q.count() * g.count() and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
