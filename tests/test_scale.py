@@ -174,6 +174,38 @@ def test_reranking_makes_rows_of_queries_and_gallery_only(spark, monkeypatch):
     assert len(got) == q.count() * g.count() and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-9 for k in want)
 
 
+def test_ranked_reranking_makes_rows_of_its_result_only(spark, monkeypatch):
+    c = small(spark, 120).withColumn("embedding", F.when(F.col("crop_id") % 9 == 0, F.array(*(F.lit(float(k)).cast("float") for k in range(4)))).otherwise(F.col("embedding")))  # copies
+    q, g = c.where("crop_id % 5 < 2"), c.where("crop_id % 5 >= 1")
+    rows = lambda df: sorted(tuple(r) for r in df.select("qid", "gid", "dist", "rank").collect())
+    for k1, k2 in ((6, 3), (5, 1)):
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "PANEL", 16)
+            want = rows(retrieval.rerank_ranked(c, q, g, k1, k2))
+        with monkeypatch.context() as m:
+            for name in ("distances", "encode", "overlap"):
+                forbid(m, retrieval, name)
+            m.setattr(retrieval, "CELLS", 100)
+            m.setattr(retrieval, "ENCODED", 50)
+            assert len(want) == q.count() * g.count() and rows(retrieval.rerank_ranked(c, q, g, k1, k2)) == want
+    assert retrieval.rerank_ranked(c, q.where("crop_id < 0"), g).count() == 0 == retrieval.rerank_ranked(c, q, g.where("crop_id < 0")).count()
+
+
+def test_nearest_columns_are_those_of_a_sort():
+    d = np.random.default_rng(1).integers(0, 4, (50, 40)) * 1.0
+    for k in (1, 7, 40, 60):
+        assert (retrieval._nearest(d, k) == np.argsort(d, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_queries_of_reranking_make_no_rows_of_common_neighbours(spark, sf, monkeypatch):
+    from matchgrid.plans import registry
+
+    for name in ("distances", "encode", "overlap"):
+        forbid(monkeypatch, retrieval, name)
+    for name in ("rerank_blend",):
+        assert registry.queries()[name](spark, sf).count() > 0
+
+
 def test_closest_rows_of_objects(spark, monkeypatch):
     c = small(spark, 120).where("object_id is not null")
     monkeypatch.setattr(pairs, "BLOCK", 2)
