@@ -202,7 +202,7 @@ def test_queries_of_reranking_make_no_rows_of_common_neighbours(spark, sf, monke
 
     for name in ("distances", "encode", "overlap"):
         forbid(monkeypatch, retrieval, name)
-    for name in ("rerank_blend",):
+    for name in ("rerank_blend", "rerank_given"):
         assert registry.queries()[name](spark, sf).count() > 0
 
 
